@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from gemello.llm import exact_dedup
+from gemello.llm import exact_dedup, packing, token_binary
 
 QUERIES = {}
 ORACLES = {}
@@ -24,3 +24,16 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)
 """
+
+
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return token_binary.token_files(docs, public_tokenizers.path("word_bpe_49k.json")).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES["op4_token_binary"] = op4_token_binary
+QUERIES["op7_best_fit_packing"] = op7_best_fit_packing
