@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gemello.llm import exact_dedup, packing, token_binary
+from gemello.llm import exact_dedup, packing, simhash, token_binary
 
 QUERIES = {}
 ORACLES = {}
@@ -37,3 +38,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_token_binary"] = op4_token_binary
 QUERIES["op7_best_fit_packing"] = op7_best_fit_packing
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = simhash.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES["op6_simhash_near_dedup"] = op6_simhash_near_dedup
