@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemello.llm import exact_dedup, packing, simhash, token_binary
+from gemello.llm import exact_dedup, html_extract, packing, simhash, token_binary, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -46,3 +46,31 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_simhash_near_dedup"] = op6_simhash_near_dedup
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op1_html_extraction"] = op1_html_extraction
+QUERIES["op10_warc"] = op10_warc
+ORACLES["op10_warc"] = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(encode(coalesce(html, ''))) AS h FROM pages
+), g AS (SELECT payload, max(page_id) AS response FROM p GROUP BY payload),
+b AS (SELECT DISTINCT h, CAST(CAST(from_hex(h) AS BIT) AS VARCHAR) AS bits FROM p),
+e AS (
+  SELECT h, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(
+    16 * CAST(substr(bits, 5 * i + 1, 1) AS INT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INT) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INT)
+    + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INT) + CAST(substr(bits, 5 * i + 5, 1) AS INT) AS INT), 1)), '') AS digest FROM b
+)
+SELECT page_id, octet_length(payload) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = response THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> response THEN response END AS refers_to
+FROM p JOIN g USING (payload) JOIN e USING (h)
+"""
