@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemello.llm import exact_dedup, html_extract, packing, simhash, token_binary, warc
+from gemello.llm import decontaminate, exact_dedup, html_extract, line_crf, packing, simhash, token_binary, token_counts, url_graph, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -74,3 +74,38 @@ SELECT page_id, octet_length(payload) AS payload_bytes, digest AS payload_digest
   CASE WHEN page_id <> response THEN response END AS refers_to
 FROM p JOIN g USING (payload) JOIN e USING (h)
 """
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    field = line_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return line_crf.scored(docs, field).select(
+        "doc_id", line_crf.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= line_crf.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+QUERIES["op9_quality_classifier"] = op9_quality_classifier
+
+
+#: The rules of the query, as (host, path, allow).
+URL_RULES = [
+    url_graph.Rule(*r)
+    for r in (("com", "/en/", False), ("example.com", "/en/7", True), ("net", "/de/", True), ("example.net", "/de/8", False), ("org", "/es/", False))
+]
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judged(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_sections(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES).drop("trust", "distrust")
+
+
+QUERIES["op2_benchmark_decontamination"] = op2_benchmark_decontamination
+QUERIES["op3_token_counts"] = op3_token_counts
+QUERIES["op5_url_filter"] = op5_url_filter
