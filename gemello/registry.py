@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FLAGSHIP = "m1_manifest"
+FLAGSHIP = "numstat_by_lang"
 
 
 def query(name: str, sql: str | None = None):
@@ -22,3 +22,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+from gemello.queries import metadata  # noqa: E402, F401  registers its queries
