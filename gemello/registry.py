@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from gemello.queries import metadata  # noqa: E402, F401  registers its queries
+from gemello.queries import layout, metadata, text  # noqa: E402, F401  register their queries

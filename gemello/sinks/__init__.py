@@ -22,7 +22,7 @@ def exit_code(changes: DataFrame, failed: bool = False) -> DataFrame:
 
 def escape_separators(text: Column) -> Column:
     """JSON text with the three line separators beyond ASCII written as escapes, so that a record is one line everywhere."""
-    for c in ("\u0085", " ", " "):
+    for c in ("\u0085", "\u2028", "\u2029"):
         text = F.replace(text, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
     return text
 
