@@ -178,7 +178,7 @@ def align(item: bytes, region: bytes, edits: int) -> tuple[int, int, int] | None
     if p >= 0:
         return 0, p, p + len(item)
     m, n = len(item), len(region)
-    width = n - m + edits + 1  # diagonals from -edits to n - m
+    width = n - m + 2 * edits + 1  # diagonals from -edits to n - m + edits
     if width <= 0:
         return None
     r = np.frombuffer(b"\0" * edits + region + b"\0" * (m + width), np.uint8)

@@ -127,14 +127,11 @@ def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX
 
 
 def drop_exact(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """docs without the rows that don't stay; all columns of docs. Texts that surely have no copy aren't shuffled."""
-    docs = docs.withColumn("_key", xx_key(normalized(F.col("text"))))
-    digests = written(_keyed(docs.select("doc_id", "text"), xx_key, sha_digest).select("doc_id", "key", "digest"), "digests")
-    index, _ = build_index(digests, capacity, max_depth)
-    multi = written(index.filter("n > 1").select("key", "digest", "keep_id"), "groups")
-    marked = with_maybe(docs, F.col("_key"), multi)
-    alone = marked.filter(~F.col("maybe")).drop("maybe", "_key")
-    members = marked.filter("maybe").drop("maybe").withColumn("_norm", normalized(F.col("text"))).withColumn("_digest", sha_digest(F.col("_norm")))
-    keep = members.join(multi.select(F.col("key").alias("k"), F.col("digest").alias("d"), "keep_id"), (F.col("_key") == F.col("k")) & (F.col("_digest") == F.col("d")), "left")
-    kept = keep.filter(F.col("k").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    return alone.unionByName(kept.select(alone.columns))
+    """docs without the rows that don't stay; all columns of docs, whatever their names. Texts that surely have no copy aren't shuffled."""
+    groups = exact_groups(docs, capacity, max_depth).filter(~F.col("kept"))
+    gone = written(groups.select("doc_id", F.unhex("text_sha256").alias("digest")).distinct(), "gone")
+    digest = sha_digest(normalized(F.col("row.text")))
+    rows = docs.select(F.struct("*").alias("row"))
+    marked = with_maybe(rows.withColumn("digest", digest), F.xxhash64("digest"), gone.select(F.xxhash64("digest").alias("key")))
+    copies = marked.filter("maybe").join(gone, F.col("row.doc_id").eqNullSafe(gone.doc_id) & (marked.digest == gone.digest), "left_anti")
+    return marked.filter("NOT maybe").select("row.*").unionByName(copies.select("row.*"))

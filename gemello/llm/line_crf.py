@@ -237,4 +237,7 @@ def scored(docs: DataFrame, field: Field | float, name: str = "score") -> DataFr
 
 def drop_rejected(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs whose score is at least the threshold; all columns of docs."""
-    return scored(docs, train(docs, labels), "_quality").filter(F.col("_quality") >= threshold).drop("_quality")
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    return scored(docs, train(docs, labels), name).filter(F.col(name) >= threshold).drop(name)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gemello.llm.components import connected_components
+from gemello.llm.prefilter import with_maybe
 from gemello.session import written
 
 WORDS = 4
@@ -212,12 +213,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
 
 
 def drop_near(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each group: the one whose doc_id names the component. All columns of docs."""
-    from gemello.llm.prefilter import with_maybe
-
+    """docs with one document of each group, the one whose doc_id names it; all columns of docs, whatever their names. Rows without a doc_id stay."""
     near = near_duplicates(docs, words, distance)
-    gone = written(near.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("doc_id").isNotNull()).select("doc_id"), "gone")
-    hashed = gone.select(F.xxhash64("doc_id").alias("key"))
-    marked = with_maybe(docs, F.xxhash64("doc_id"), hashed, "_maybe")
-    sure = marked.filter(~F.col("_maybe")).drop("_maybe")
-    return sure.unionByName(marked.filter("_maybe").drop("_maybe").join(gone.distinct(), "doc_id", "left_anti").select(sure.columns))
+    gone = written(near.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct(), "gone")
+    rows = docs.select(F.struct("*").alias("row"))
+    ident = F.xxhash64(F.col("row.doc_id").cast("long"))
+    marked = with_maybe(rows, ident, gone.select(F.xxhash64("doc_id").alias("key")))
+    rest = marked.filter("maybe").join(gone, F.col("row.doc_id") == gone.doc_id, "left_anti")
+    return marked.filter("NOT maybe").select("row.*").unionByName(rest.select("row.*"))

@@ -54,7 +54,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_
     samples = [bytes(r.ids) for r in part.mapInArrow(ids, "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:
+    except (zstandard.ZstdError, ValueError):
         return b""
 
 
