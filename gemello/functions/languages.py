@@ -165,10 +165,8 @@ def guess(path: Column, text: Column, overrides: list[tuple[str, str]] = (), glo
     """The language of a file, null for plain text: overrides (glob, language or "text") first, then what the text says, then its name."""
     name = F.regexp_extract(path, "([^/]*)$", 1)
     hack = path.endswith(".php") & text.startswith("<?hh")
-    out = F.coalesce(by_mode(text), by_shebang(text))
-    out = F.when(out.isNotNull(), out).when(hack, None).when(looks_like_objc(path, text), "Objective-C").otherwise(
-        F.coalesce(by_name(path, globs), F.when(text.startswith("<?xml"), "XML"))
-    )
+    named = F.when(~hack, F.coalesce(F.when(looks_like_objc(path, text), "Objective-C"), by_name(path, globs), F.when(text.startswith("<?xml"), "XML")))
+    out = F.coalesce(by_mode(text), by_shebang(text), named)
     for glob, language in reversed(overrides):
         out = F.when(name.rlike(glob_regex(glob)), F.lit(None if language == "text" else language)).otherwise(out)
     return out

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gemello.functions.classify import hidden_reason, tags_of
+from gemello.functions.classify import hidden_reason, with_tags
 from gemello.functions.languages import guess, static_fallback
 from gemello.operators import alignment, syntax, treematch
 from gemello.operators.manifest import exact_renames, manifest
@@ -45,8 +45,8 @@ def file_pairs(base: DataFrame, head: DataFrame, options: Options = Options()) -
         changes = exact_renames(changes)
     blob = lambda df, s: df.select(F.col("path").alias(f"{s}_path"), F.col("text").alias(s))
     pairs = changes.join(blob(base, "lhs"), "lhs_path", "left").join(blob(head, "rhs"), "rhs_path", "left")
-    path, text = F.coalesce("rhs_path", "lhs_path"), F.coalesce("rhs", "lhs")
-    out = pairs.select(path.alias("file_key"), "status", "lhs_path", "rhs_path", "lhs", "rhs", tags_of(path, text).alias("tags"), guess(path, text, list(options.overrides)).alias("language"))
+    keyed = pairs.select(F.coalesce("rhs_path", "lhs_path").alias("file_key"), "status", "lhs_path", "rhs_path", "lhs", "rhs", F.coalesce("rhs", "lhs").alias("_text"))
+    out = with_tags(keyed, "file_key", "_text").withColumn("language", guess(F.col("file_key"), F.col("_text"), list(options.overrides))).drop("_text")
     out = out.withColumn("hidden", hidden_reason(F.col("status"), F.col("tags"), list(options.hide), options.hide_deleted))
     providers = [k for k in syntax.PROVIDERS]
     known = F.when(F.col("language").isin(*providers), F.col("language"))
