@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gemello.operators.ranking import global_row_number
+
 
 def manifest(base: DataFrame, head: DataFrame) -> DataFrame:
     """Rows (path, status, lhs_path, rhs_path, lhs_oid, rhs_oid, lhs_mode, rhs_mode) of files that differ; texts stay behind.
@@ -96,7 +98,7 @@ def select_paths(changes: DataFrame, patterns: list[str]) -> DataFrame:
 
 def ordered(changes: DataFrame) -> DataFrame:
     """The manifest with ord, the place of a row by its new path, else its old one."""
-    return changes.withColumn("ord", F.row_number().over(Window.orderBy(F.coalesce("rhs_path", "lhs_path"))).cast("long"))
+    return global_row_number(changes.withColumn("_key", F.coalesce("rhs_path", "lhs_path")), "_key", "ord").drop("_key")
 
 
 # The letter of each status in reports.

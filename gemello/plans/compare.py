@@ -17,6 +17,7 @@ from gemello.functions.classify import hidden_reason, with_tags
 from gemello.functions.languages import guess, static_fallback
 from gemello.operators import alignment, syntax, treematch
 from gemello.operators.manifest import exact_renames, manifest
+from gemello.operators.ranking import global_row_number
 from gemello.sinks import envelope, record_lines
 
 
@@ -99,13 +100,11 @@ def diffs(pairs: DataFrame, options: Options = Options()) -> DataFrame:
 
 def records(base: DataFrame, head: DataFrame, options: Options = Options()) -> DataFrame:
     """(seq, line): the record stream of a comparison, files in order of their keys."""
-    from pyspark.sql import Window
-
     pairs = file_pairs(base, head, options)
     done = pairs.select("file_key", "status", "tags", "hidden").join(diffs(pairs, options), "file_key")
     own = done.select("file_key", "status", "tags", "hidden", "cause", "added", "removed", "rows", F.lit("file").alias("type"))
     lines = record_lines(own, ["type", "file_key", "status", "tags", "hidden", "cause", "added", "removed", "rows"])
-    ranked = lines.select(F.row_number().over(Window.orderBy("file_key")).alias("ord"), "line", F.lit(False).alias("failed"))
+    ranked = global_row_number(lines.select("file_key", "line", F.lit(False).alias("failed")), "file_key", "ord").withColumn("ord", F.col("ord") - 1)
     return envelope(pairs.select("file_key"), ranked)
 
 
