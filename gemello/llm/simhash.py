@@ -208,7 +208,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     nodes = found.join(distinct, found.node == distinct.fp).select("fp", "component", "first")
     least = nodes.groupBy("component").agg(F.min("first").alias("least"))
     linked = nodes.join(least, "component").select("fp", "least")
-    of = distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written, so that the join below stands alone and a fingerprint that many rows share can be split
+    of = written(distinct.join(linked, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "components")
     return prints.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
