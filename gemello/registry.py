@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from gemello.queries import diffs, layout, metadata, text  # noqa: E402, F401  register their queries
+from gemello.queries import diffs, layout, metadata, text, views  # noqa: E402, F401  register their queries
