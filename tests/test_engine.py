@@ -81,6 +81,14 @@ def test_hidden_files_and_rendering(spark):
     assert sum("unchanged lines" in x for x in lines) == 2 and sum(x.startswith("*") for x in lines) == 1 and len(lines) == 9
 
 
+def test_prefix_ends_with_a_whole_character(spark):
+    from gemello.functions.classify import prefix_of
+
+    rows = spark.createDataFrame([("é" * 5000,), ("a" + "é" * 5000,), ("x",), ("",)], "text string")
+    prefix, whole = prefix_of(F.col("text"))
+    assert [(len(r[0]), r[1]) for r in rows.select(prefix, whole).collect()] == [(4096, False), (4096, False), (1, True), (0, True)]
+
+
 def test_pipeline_names_the_step_that_fails(spark):
     nodes = spark.createDataFrame([(1, True)], "fold_state_id long, collapsed boolean")
     opened = compare.Pipeline([("open", lambda r: regions.open_folds(r, spark.createDataFrame([(1,)], "fold_state_id long")))]).run(nodes)
