@@ -8,6 +8,7 @@ that isn't so (they name a special token) go to the library whole.
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 from functools import lru_cache
 
@@ -35,17 +36,29 @@ class _Memo(dict):
         self.encode, self.old = encode, {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO:
-            self.old = dict(self)
-            self.clear()
         out = self.old.get(word)
         if out is None:
             out = self.encode(word)
+        return self.keep(word, out)
+
+    def keep(self, word: str, out: bytes) -> bytes:
+        if len(self) >= MEMO:
+            self.old = dict(self)
+            self.clear()
         if len(word) <= 64:
             self[word] = out
         return out
 
 
+class _Words(_Memo):
+    """As before; letters with one mark behind them are those letters' bytes and the mark's, and aren't kept themselves."""
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > 1 and not word[-1].isalnum() and word[:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
+        return super().__missing__(word)
+
+
 def byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: itself if it is printable, else the next from 256 on."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -64,7 +77,7 @@ class WordTokenizer:
         self.normalize = self.tokenizer.normalizer.normalize_str
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.memo = _Memo(self._word)
+        self.memo = _Words(self._word)
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -72,11 +85,11 @@ class WordTokenizer:
     def _word(self, word: str) -> bytes:
         """Ids of a normalised word without white space."""
         ids = []
-        for part in WORD_ANY.findall(word):
+        for part in (word,) if word.isalpha() else WORD_ANY.findall(word):
             if not part.isascii():
                 part = "".join(map(self.letters.__getitem__, part.encode()))
             ids += [t.id for t in self.model.tokenize(part)]
-        return np.asarray(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of a text; a null text counts as empty."""
