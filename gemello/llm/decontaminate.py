@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gemello.llm.batches import slices
+
 Q = 8
 #: Edits allowed, as a share of an item's bytes.
 EDITS = 0.08
@@ -228,7 +230,7 @@ def _sought(docs: DataFrame, block: Block, columns: list[str], found):
     at = columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = [normal(t) for t in b.column(at).to_pylist()]
             hits, k = [], 0
             while k < len(texts):

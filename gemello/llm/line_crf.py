@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from gemello.llm.batches import slices
+
 #: Labelled documents (about so many are taken, by hash) and lines that the field is fitted on.
 MAX_DOCS, MAX_LINES = 4000, 60_000
 BINS, STEPS, RATE, L2 = 12, 120, 0.1, 1e-4
@@ -200,7 +202,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Field
     part = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10_000)) < max(1, min(10_000, 10_000 * max_docs // max(n, 1)))).limit(2 * max_docs)
 
     def features(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(0).to_pylist()
             for text, good in zip(texts, b.column(1).to_pylist(), strict=True):
                 bins, lengths, _ = line_features([text])
@@ -227,7 +229,7 @@ def scored(docs: DataFrame, field: Field | float, name: str = "score") -> DataFr
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             s = score_texts(field, texts) if isinstance(field, Field) else np.full(len(texts), field)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s)], [*b.schema.names, name])

@@ -22,6 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gemello.llm.batches import slices
 from gemello.llm.tokens import word_tokenizer
 from gemello.session import written
 
@@ -98,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = CAPACITY) -> DataFrame:
     def cut(batches):
         encode, part = word_tokenizer(tokenizer), TaskContext.get().partitionId()
         end, seen = np.asarray([END_ID], "<u4").tobytes(), {}
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = encode(text) + end
@@ -113,6 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = CAPACITY) -> DataFrame:
                     [pa.array(doc, pa.int64()), pa.array(k, pa.int32()), *(pa.array(c, pa.int64()) for c in (at, n, crc)), pa.array(part_, pa.int32()), pa.array(nth, pa.int64())],
                     ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"],
                 )
+        encode.forget()
 
     return docs.select("doc_id", "text").mapInArrow(cut, PIECES)
 

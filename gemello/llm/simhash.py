@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gemello.llm.batches import slices
 from gemello.llm.components import connected_components
 from gemello.llm.prefilter import with_maybe
 from gemello.session import written
@@ -64,7 +65,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, fp) of docs (doc_id, text); fp is the fingerprint as a signed 64-bit integer."""
 
     def of(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.asarray([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], ["doc_id", "fp"])
 
@@ -77,14 +78,20 @@ def golay() -> tuple[np.ndarray, np.ndarray]:
 
     Made from the generator: the syndrome of each error pattern of weight 3 or less is its own, as the code is perfect.
     """
-    syndrome = np.arange(1 << 23, dtype=np.int64)
-    for bit in range(22, 10, -1):
-        syndrome = np.where(syndrome >> bit & 1, syndrome ^ (GENERATOR << (bit - 11)), syndrome)
-    leader = np.zeros(1 << 11, np.int64)
+
+    def syndrome(x: np.ndarray) -> np.ndarray:
+        for bit in range(22, 10, -1):
+            x = np.where(x >> bit & 1, x ^ (GENERATOR << (bit - 11)), x)
+        return x
+
     ones = [1 << i for i in range(23)]
-    for x in [0, *ones, *(a | b for a in ones for b in ones if a < b), *(a | b | c for a in ones for b in ones if a < b for c in ones if b < c)]:
-        leader[syndrome[x]] = x
-    own = ((np.arange(1 << 23) ^ leader[syndrome]) >> 11).astype(np.int16)
+    errors = np.asarray([0, *ones, *(a | b for a in ones for b in ones if a < b), *(a | b | c for a in ones for b in ones if a < b for c in ones if b < c)], np.int32)
+    leader = np.zeros(1 << 11, np.int32)
+    leader[syndrome(errors)] = errors
+    own = np.empty(1 << 23, np.int16)
+    for at in range(0, len(own), 1 << 17):  # in parts, as a worker's memory is small
+        words = np.arange(at, at + (1 << 17), dtype=np.int32)
+        own[words] = (words ^ leader[syndrome(words)]) >> 11
     return own, np.asarray(ones, np.int64)
 
 
@@ -113,11 +120,10 @@ def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(batches):
-    for b in batches:
-        for at in range(0, b.num_rows, 4096):
-            fp = b.column(0).to_numpy()[at : at + 4096]
-            row, key = keys_of(fp.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[row])], ["key", "fp"])
+    for b in slices(batches, 4096):
+        fp = b.column(0).to_numpy()
+        row, key = keys_of(fp.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(fp[row])], ["key", "fp"])
 
 
 def forest(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:

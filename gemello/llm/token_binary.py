@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gemello.llm.batches import slices
 from gemello.llm.files import attempt_path, open_fs
 from gemello.llm.tokens import word_tokenizer
 from gemello.session import shared_dir
@@ -48,8 +49,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_
 
     def ids(batches):
         encode = word_tokenizer(tokenizer)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_pydict({"ids": [encode(t)[:SAMPLE_BYTES] for t in b.column(0).to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
+        encode.forget()
 
     samples = [bytes(r.ids) for r in part.mapInArrow(ids, "ids binary").collect()]
     try:
@@ -76,8 +78,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> str:
         end = np.asarray([END_ID], "<u4").tobytes()
         uri = attempt_path(folder, shard, ".tok")
         ids, offsets, counts, at, out = [], [], [], len(MAGIC) + 32, None
-        for b in batches:
-            if b.num_rows and out is None:
+        for b in slices(batches):
+            if out is None:
                 out = fs.open_output_stream(open_fs(uri)[1])
                 out.write(MAGIC + digest)
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -88,6 +90,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> str:
                 offsets.append(at)
                 counts.append(len(raw) // 4)
                 at += len(frame)
+        encode.forget()
         if out is not None:
             with out:
                 out.write(np.asarray(ids, "<i8").tobytes() + np.asarray([*offsets, at], "<u8").tobytes() + np.asarray(counts, "<u8").tobytes())

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gemello.llm.batches import slices
 from gemello.llm.tokens import span_tokenizer
 
 SECTIONS = "doc_id long, field string, section int, start long, end long, n_tokens long, n_crossing long"
@@ -46,7 +47,7 @@ def count_sections(docs: DataFrame, tokenizer: str, fields: tuple[str, ...] = ("
 
     def run(batches):
         encode, pattern = span_tokenizer(tokenizer), re.compile(separator)
-        for b in batches:
+        for b in slices(batches):
             rows, ids = [], b.column(0).to_pylist()
             columns = [b.column(k + 1).to_pylist() for k in range(len(fields))]
             for k, doc in enumerate(ids):
@@ -65,6 +66,7 @@ def count_sections(docs: DataFrame, tokenizer: str, fields: tuple[str, ...] = ("
                     rows = []
             if rows:
                 yield _batch(rows)
+        encode.forget()
 
     return docs.select(ident, *fields).mapInArrow(run, SECTIONS)
 

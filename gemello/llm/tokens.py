@@ -16,8 +16,10 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from gemello.llm.batches import release
+
 #: Distinct pre-tokens (or blank-separated words) kept in each of two generations in a worker, so that its memory is bounded.
-MEMO = 300_000
+MEMO = 200_000
 
 # The tokenizers' pre-token patterns, the first for text that is already lower-cased.
 WORD_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -49,6 +51,10 @@ class _Memo(dict):
             self[word] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class _Words(_Memo):
     """As before; letters with one mark behind them are those letters' bytes and the mark's, and aren't kept themselves."""
@@ -79,6 +85,11 @@ class WordTokenizer:
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo = _Words(self._word)
 
+    def forget(self) -> None:
+        """Empty the memo, at the end of a task: an idle worker then holds the vocabulary alone."""
+        self.memo.forget()
+        release()
+
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -114,6 +125,10 @@ class SpanTokenizer:
         self.tokenizer.encode_special_tokens = True
         self.memo = _Memo(self._spans)
 
+    def forget(self) -> None:
+        self.memo.forget()
+        release()
+
     def _spans(self, word: str) -> bytes:
         return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).offsets, dtype="<u4").tobytes()
 

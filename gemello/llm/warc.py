@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gemello.llm.batches import slices
 from gemello.llm.files import attempt_path, open_fs
 from gemello.session import shared_dir, written
 
@@ -89,8 +90,8 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> str:
 
     def write(batches):
         uri, out, at, n = attempt_path(folder, TaskContext.get().partitionId(), ".warc.gz"), None, 0, 0
-        for b in batches:
-            if b.num_rows and out is None:
+        for b in slices(batches):
+            if out is None:
                 fs, own = open_fs(uri)
                 out = fs.open_output_stream(own, compression=None)
             for page, url, html, sha1, size, refers in zip(*(c.to_pylist() for c in b.columns), strict=True):
