@@ -8,6 +8,7 @@ from gemello.functions import classify as c
 from gemello.functions import languages as g
 from gemello.functions import strings as x
 from gemello.queries.carriers import LINES, documents, lines, sql_values, values
+from gemello.queries.diffs import turn_pairs
 from gemello.registry import query
 
 
@@ -31,9 +32,13 @@ _docs("x10_capitalized", "upper(left(lower(text), 1)) || substr(lower(text), 2)"
 _docs("x11_numbered", "array_to_string(list_transform(string_split(text, chr(10)), lambda p, i: lpad(CAST(i AS VARCHAR), 5, ' ') || ' | ' || p), chr(10))", x.numbered)
 _docs("x13_separators", "replace(replace('[' || left(text, 20) || chr(8232) || chr(133) || ']', chr(8232), '\\u2028'), chr(133), '\\u0085')",
       lambda t: __import__("gemello.sinks", fromlist=["x"]).escape_separators(F.concat(F.lit("["), F.left(t, F.lit(20)), F.lit("\u2028\u0085]"))))
+_docs("x13_separators_whole", "replace(text, chr(10), '\\u2028\\u0085\\u2029') || '\\u2029'",
+      lambda t: __import__("gemello.sinks", fromlist=["x"]).escape_separators(F.concat(F.replace(t, F.lit("\n"), F.lit("\u2028\u0085\u2029")), F.lit("\u2029"))))
 _docs("x14_human_size", "CASE WHEN length(text) < 1024 THEN length(text) || ' B' ELSE CAST(round(length(text) * 10 / 1024) AS BIGINT) // 10 || '.' || CAST(round(length(text) * 10 / 1024) AS BIGINT) % 10 || ' KiB' END",
       lambda t: x.human_size(F.length(t)))
 _docs("x18_terminal_safe", "left(text, 30) || '[0m'", lambda t: x.without_controls(F.concat(F.left(t, F.lit(30)), F.lit("\x1b[0m\x07"))))
+_docs("x18_terminal_safe_whole", "replace(text, chr(10), '[0m' || chr(9) || chr(10)) || '[0m'",
+      lambda t: x.without_controls(F.concat(F.replace(t, F.lit("\n"), F.lit("\x1b[0m\x07\t\u009b\n")), F.lit("\x1b[0m\x7f"))))
 _docs("x19_short_revision", "left(sha1(encode(text)), 7)", lambda t: x.short_revision(F.sha1(F.encode(t, "UTF-8"))))
 _docs("x20_head_label", "string_split(text, chr(10))[1] || ' … ' || len(string_split(text, chr(10))) || ' lines'", lambda t: x.head_label(t, F.size(F.split(t, "\n"))))
 _docs("f2_normal_path", "CASE WHEN doc_id % 3 = 0 THEN NULL ELSE 'a/c/' || lang END", lambda t: x.normal_path(F.when(F.col("doc_id") % 3 == 0, F.lit("../x")).otherwise(F.concat(F.lit("./a/b/../c//"), F.col("lang")))))
@@ -48,6 +53,12 @@ _docs("a14_block_bar", "CASE WHEN doc_id % 5 = 0 THEN '5+0' WHEN doc_id % 5 = 1
       lambda t: (lambda k: F.concat_ws("+", *[v.cast("string") for v in x.block_bar(F.element_at(F.array(*map(F.lit, (7, 1, 2, 0, 7))), k), F.element_at(F.array(*map(F.lit, (0, 99, 2, 0, 3))), k))]))((F.col("doc_id") % 5 + 1).cast("int")))
 
 
+@query("x6_similarity_turns")
+def similarity_turns(spark, d):
+    """Whole texts of consecutive turns. No SQL: DuckDB's edit distance counts bytes, which differ from characters beyond ASCII."""
+    return turn_pairs(spark, d).select("file_key", x.similarity_percent(F.col("lhs"), F.col("rhs")).alias("value"))
+
+
 @query("f11_line_anchor_lengths", f"WITH {LINES} SELECT doc_id, line, octet_length(encode(text)) AS bytes FROM lines")
 def line_lengths(spark, d):
     return lines(spark, d).select("doc_id", F.col("line").cast("long").alias("line"), x.line_bytes(F.col("text")).cast("long").alias("bytes"))
