@@ -4,7 +4,8 @@ A rule names a host and a path: it fits that host and all its subdomains, where
 wins. Hosts of pages that rules allow are trusted seeds, hosts of pages that rules block are distrusted ones, each in proportion to its
 pages. Trust is personalised PageRank from the trusted seeds along host edges; distrust is the same from the blocked seeds along
 reversed edges, so that it reaches hosts that link to bad ones. A host is blocked if its distrust is over its trust and over the
-threshold's share of what a host gets all of whose pages are blocked; any other is allowed. Host edges come from the absolute links of the pages.
+threshold's share of what a host gets all of whose pages are blocked; any other is allowed. Host edges come from the links of the pages that
+name a host, with a scheme or from "//" on. Rounds go on until no rank changes by more than ``TOLERANCE`` (of itself where it is over 1).
 
 A null url or one without "://" has an empty host and path, to which no rule and no seed applies. Repeated rows are rows of their own
 and count as pages. A null html has no links. An empty table gives no rows.
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from gemello.session import written
 
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
-#: Rounds between two writes that cut the lineage.
+#: ROUNDS pass between two looks at how much ranks still change.
+DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 8, 0.5, 1e-9
+#: Rounds between two writes that cut the lineage; the change is that between the last two.
 CUT = 4
 #: More rules than these are joined by host rather than tried in turn.
 INLINE_RULES = 200
@@ -68,26 +70,32 @@ def with_rule(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def host_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, n): links from pages of one host to another."""
-    link = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?\s*([a-z][a-z0-9+.-]*://[^"'\s>]+)"""), 1))
-    linked = pages.filter(F.col("html").isNotNull()).select("host", link.alias("link")).select(F.col("host").alias("src"), host_of(F.col("link")).alias("dst"))
+    link = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), 1))
+    full = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
+    linked = pages.filter(F.col("html").isNotNull()).select("host", link.alias("link")).select(F.col("host").alias("src"), host_of(full).alias("dst"))
     return linked.filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, host, rank) after so many rounds of rank = (1 - damping) seed + damping (what comes over edges).
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(kind, host, rank) of rank = (1 - damping) seed + damping (what comes over edges), by rounds until the change is within tolerance.
 
     seeds (kind, host, seed) and edges (kind, src, dst, share), where shares of a src sum to one, hold all kinds at once. What
     reaches a host without edges ends there.
     """
     seeds = written(seeds, "seeds")
     edges = written(edges, "edges")
-    rank = seeds.select("kind", "host", F.col("seed").alias("rank"))
-    for k in range(rounds):
-        sent = rank.join(edges, (rank.kind == edges.kind) & (rank.host == edges.src)).select(rank.kind, F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("rank"))
-        rank = seeds.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("rank")).unionByName(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if k % CUT == CUT - 1:
-            rank = written(rank, "rank")
-    return rank
+    rank = cut = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    while True:
+        for k in range(rounds):
+            sent = rank.join(edges, (rank.kind == edges.kind) & (rank.host == edges.src)).select(rank.kind, F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("rank"))
+            rank = seeds.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("rank")).unionByName(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+            if k % CUT == CUT - 1 or k == rounds - 1:
+                before, rank = cut, written(rank, "rank")
+                cut = rank
+        both = rank.withColumn("was", F.lit(0.0)).unionByName(before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
+        moved = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
+        if (moved.agg(F.max(F.abs(F.col("rank") - F.col("was")) / F.greatest("rank", F.lit(1.0)))).first()[0] or 0) <= tolerance:
+            return rank
 
 
 def judge(pages: DataFrame, rules: list[Rule], threshold: float = THRESHOLD, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
