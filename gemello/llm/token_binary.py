@@ -37,11 +37,22 @@ END_ID = 1
 NULL_ID = -(2**63)
 #: Documents the dictionary is trained on (about so many are taken, by hash), bytes taken of each, and the dictionary's bytes.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 16_384, 65_536
+#: Chunks in which the bytes of a longer document are taken.
+CHUNKS = 16
 LEVEL = 3
 MANIFEST = "shard int, path string, n_docs long, n_tokens long"
 ROWS = "shard int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+def spread(ids: bytes) -> bytes:
+    """SAMPLE_BYTES of 32-bit ids in even chunks from the first to the last of them; all if there are no more."""
+    if len(ids) <= SAMPLE_BYTES:
+        return ids
+    size = SAMPLE_BYTES // CHUNKS
+    starts = [(len(ids) - size) * k // (CHUNKS - 1) // 4 * 4 for k in range(CHUNKS)]
+    return b"".join(ids[at : at + size] for at in starts)
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_DOCS) -> bytes:
     """A dictionary of serialised id arrays of a bounded sample; b"" if the sample is too small to train on."""
     n = docs.count()
@@ -50,7 +61,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, sample_docs: int = SAMPLE_
     def ids(batches):
         encode = word_tokenizer(tokenizer)
         for b in slices(batches):
-            yield pa.RecordBatch.from_pydict({"ids": [encode(t)[:SAMPLE_BYTES] for t in b.column(0).to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
+            yield pa.RecordBatch.from_pydict({"ids": [spread(encode(t)) for t in b.column(0).to_pylist()]}, schema=pa.schema([("ids", pa.binary())]))
         encode.forget()
 
     samples = [bytes(r.ids) for r in part.mapInArrow(ids, "ids binary").collect()]
