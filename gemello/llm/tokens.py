@@ -1,15 +1,16 @@
 """Whole-text tokenisation by the tokenizers library, memoised by pre-token.
 
 Both supported tokenizers split a text into pre-tokens with a fixed pattern and encode each pre-token on its own, so the
-ids of a text are the concatenated ids of its pre-tokens. The library encodes each distinct pre-token once; texts in which
-that isn't so (they name a special token) go to the library whole.
+ids of a text are the concatenated ids of its pre-tokens, and the library encodes each distinct one once. Only characters whose class, case
+and normal form are surely the library's are split here: printable ASCII and the letters of ``LATIN`` for word BPE, all but
+``UNSURE`` for byte BPE. Other words, and for byte BPE other texts, go to the library as they are; so do texts that name a special token.
 """
 
 from __future__ import annotations
 
 import re
+import string
 import struct
-import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -26,8 +27,16 @@ WORD_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_S
 SPAN_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
 SPAN_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
-#: Python's split() also splits at these, the tokenizer doesn't; lower() of Sigma looks at the letters around it.
-_ODD = "\x1c\x1d\x1e\x1f\u03a3"
+#: Letters beside ASCII that no normal form changes and that lower() maps one to one.
+LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f"
+_PLAIN = re.compile(f"[!-~{LATIN}]+")
+_LETTERS = re.compile(f"[A-Za-z{LATIN}]+")
+MARKS = frozenset(string.punctuation)
+#: Characters whose class may be another one in a newer or older version of Unicode.
+UNSURE = re.compile("[\u0557-\u0560\u0588-\u0590\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7cb-\ua7f6\uab6c-\uab6f\U00010000-\U0001f2ff\U0001fb00-\U0010ffff]")
+
+#: Python's split() also splits at these, the tokenizer doesn't.
+_ODD = re.compile("[\x1c-\x1f]")
 
 
 class _Memo(dict):
@@ -57,10 +66,10 @@ class _Memo(dict):
 
 
 class _Words(_Memo):
-    """As before; letters with one mark behind them are those letters' bytes and the mark's, and aren't kept themselves."""
+    """As before; letters with one ASCII mark behind them are those letters' bytes and the mark's, and aren't kept themselves."""
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and not word[-1].isalnum() and word[:-1].isalpha():
+        if word[-1] in MARKS and _LETTERS.fullmatch(word, 0, len(word) - 1):
             return self[word[:-1]] + self[word[-1]]
         return super().__missing__(word)
 
@@ -80,7 +89,6 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.normalize = self.tokenizer.normalizer.normalize_str
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo = _Words(self._word)
@@ -94,8 +102,10 @@ class WordTokenizer:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        """Ids of a normalised word without white space."""
-        ids = []
+        """Ids of a word without white space."""
+        if not _PLAIN.fullmatch(word):
+            return self.whole(word)
+        ids, word = [], word.lower()
         for part in (word,) if word.isalpha() else WORD_ANY.findall(word):
             if not part.isascii():
                 part = "".join(map(self.letters.__getitem__, part.encode()))
@@ -106,15 +116,11 @@ class WordTokenizer:
         """Ids of a text; a null text counts as empty."""
         if not text:
             return b""
-        if any(c in text for c in _ODD):
+        if _ODD.search(text) or ("<|" in text and any(s in text for s in self.special)):
             return self.whole(text)
         if text.isascii():
-            lowered = text.lower()
-        else:
-            lowered = unicodedata.normalize("NFC", text).lower()
-        if "<|" in lowered and any(s in lowered for s in self.special):
-            return self.whole(text)
-        return b"".join(map(self.memo.__getitem__, lowered.split()))
+            text = text.lower()
+        return b"".join(map(self.memo.__getitem__, text.split()))
 
 
 class SpanTokenizer:
@@ -136,6 +142,8 @@ class SpanTokenizer:
         """Rows (start, end) in characters, in token order; tokens inside one character share its span."""
         if not text:
             return np.zeros((0, 2), np.int64)
+        if not text.isascii() and UNSURE.search(text):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
         words = (SPAN_ASCII if text.isascii() else SPAN_ANY).findall(text)
         parts = list(map(self.memo.__getitem__, words))
         lengths = np.fromiter(map(len, words), np.int64, len(words))
