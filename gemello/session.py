@@ -54,6 +54,12 @@ def written(df, name: str):
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_table(df) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        remove(df.sparkSession, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that is no longer read, through Spark's file system of its scheme."""
     jvm = spark.sparkContext._jvm
