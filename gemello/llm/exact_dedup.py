@@ -1,33 +1,41 @@
 """Exact deduplication over an extendible-hash index on shared files, in DataFrame operations only.
 
-1. Every row's text is normalised (A-Z lower-cased, null as empty) and digested once; the narrow rows go to a shared file.
-2. One entry for each distinct digest (pre-aggregated before the shuffle, so a hot text is one row per task) carries the
-   number of copies and the row that stays.
-3. The directory starts with one bucket; while a bucket holds more than ``capacity`` entries it is split in two by the next
-   leading bit of the key, which doubles the directory where that bucket was at full depth. The directory is a shared file.
-4. Entries are written by bucket: an owner task writes, and later reads, whole key ranges. Entries of one key whose digests
-   differ are chained (numbered) inside the bucket.
-5. Rows of groups compare their bytes with the row that stays; rows that differ in spite of equal digests form their own groups by
-   whole text.
+1. Every row's text is normalised (A-Z lower-cased, null as empty), hashed and digested once; the narrow rows go to a shared file.
+2. An entry for each distinct key carries its number of rows (pre-aggregated before the shuffle, so a hot text is one row per task).
+3. The directory starts with one bucket; while a bucket holds more than ``CAPACITY`` entries it is split in two by the next leading bit
+   of the key, which doubles the directory where that bucket was at full depth. Counts are taken at a width of leading bits that
+   the number of entries asks for; prefixes that are overfull even there are counted again at a greater width, up to all 64 bits, at
+   which a prefix is one entry. The directory is a table on shared files and never collected.
+4. Texts of keys with more than one row are combined by their bytes in each task and go, once each, to the owner task of their
+   bucket, a range of keys. It chains the different texts of a key by comparing their bytes, and writes the bucket: of each
+   link of a chain the number of rows and the row that stays.
+5. Rows look their key up in the index. A key without a chain is one text; rows of a chained key compare their bytes with its links.
 
 Null texts count as empty. Repeated rows each count; all rows of a group that carry its largest doc_id are kept, as they are one
-document. A null doc_id sorts below all others. An empty table gives no rows.
+document. A null doc_id sorts below all others: it stays only in a group without an id. An empty table gives no rows. Very long texts are
+shuffled once for each task that holds a copy, and only if their key repeats. Other columns, whatever their names, pass through drop_exact
+and are not read elsewhere.
 """
 
 from __future__ import annotations
 
+import math
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gemello.llm.prefilter import with_maybe
-from gemello.session import shared_dir, written
+from gemello.session import remove_table, shared_dir, written
 
 #: Entries a bucket may hold before it is split.
-CAPACITY = 250_000
-#: Leading key bits at which counts are taken, so many doublings at most.
-MAX_DEPTH = 16
+CAPACITY = 4096
+#: Leading bits counted beyond those that evenly spread keys would need.
+SLACK = 3
+#: Least bits by which a directory is wider than the one that leads to it: keys that crowd there aren't evenly spread.
+STEP = 20
+#: Doublings in one job; those after the last one needed change nothing.
+ROUNDS = 8
 
 
 def normalized(text: Column) -> Column:
@@ -37,55 +45,87 @@ def normalized(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, string.ascii_uppercase, string.ascii_lowercase))
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(prefix, bucket, depth): for each prefix of max_depth bits of the key, the bucket that it points to.
+def prefix_of(key: Column, width: int) -> Column:
+    """The leading bits of a key."""
+    return F.shiftrightunsigned(key, 64 - width)
 
-    A bucket's name is its leading bits. All prefixes of a full-depth histogram (2**max_depth rows at most) take part, however
-    many entries there are; a bucket still overfull at max_depth stays so and is read by several tasks.
-    """
-    fine = entries.groupBy(F.shiftrightunsigned("key", 64 - max_depth).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
-    out = fine.withColumns({"depth": F.lit(0), "bucket": F.lit("")})
-    for depth in range(max_depth):
-        full = (
-            out.filter(F.col("depth") == depth)
-            .groupBy("bucket")
-            .agg(F.sum("n").alias("held"))
-            .filter(F.col("held") > capacity)
-            .select("bucket", F.lit(True).alias("split"))
-        )
-        if full.isEmpty():
-            break
-        bit = F.shiftrightunsigned("prefix", max_depth - depth - 1).bitwiseAND(1).cast("string")
-        split = F.coalesce("split", F.lit(False))
-        out = written(
-            out.join(full, "bucket", "left").select(
-                "prefix", "n", (F.col("depth") + split.cast("int")).alias("depth"), F.when(split, F.concat("bucket", bit)).otherwise(F.col("bucket")).alias("bucket")
-            ),
-            "directory",
-        )
-    return out.select("prefix", "bucket", "depth")
-
-
-def build_index(digests: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> tuple[DataFrame, DataFrame]:
-    """The index (bucket, key, chain, digest, n, keep_id) and its directory, both on shared files."""
-    spark = digests.sparkSession
-    entries = written(
-        digests.groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id")), "entries"
-    )
-    buckets = written(directory(entries, capacity, max_depth), "directory")
-    path = shared_dir(spark, "index")
-    placed = entries.withColumn("prefix", F.shiftrightunsigned("key", 64 - max_depth)).join(buckets, "prefix").drop("prefix")
-    chains = placed.groupBy("key").agg(F.array_sort(F.collect_set("digest")).alias("chained")).filter(F.size("chained") > 1)
-    index = placed.join(chains, "key", "left").select(
-        "bucket", "key", F.coalesce(F.array_position("chained", F.col("digest")) - 1, F.lit(0)).alias("chain"), "digest", "n", "keep_id"
-    )
-    index.repartition("bucket", F.shiftrightunsigned("key", 44)).sortWithinPartitions("bucket", "key", "chain").write.parquet(path)
-    return spark.read.parquet(path), buckets
 
+def directory(entries: DataFrame, capacity: int = CAPACITY, width: int = SLACK) -> DataFrame:
+    """(prefix, n, depth, bucket, held): for each prefix of width bits that occurs, the bucket that it points to and what that holds.
 
-def _keyed(docs: DataFrame, key, digest) -> DataFrame:
-    norm = normalized(F.col("text"))
-    return docs.withColumn("norm", norm).withColumns({"key": key(F.col("norm")), "digest": digest(F.col("norm"))})
+    A bucket's name is its leading bits. Every round splits all buckets over capacity whose depth is below width.
+    """
+
+    split = (F.col("held") > capacity) & (F.col("depth") < width)
+    bit = F.expr(f"shiftrightunsigned(prefix, {width} - depth - 1) & 1").cast("string")
+    load = F.sum("n").over(Window.partitionBy("bucket"))
+    fine = entries.groupBy(prefix_of(F.col("key"), width).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
+    out, before = fine.withColumns({"depth": F.lit(0), "bucket": F.lit("")}).withColumn("held", load), None
+    while True:
+        for _ in range(ROUNDS):
+            out = out.select("prefix", "n", (F.col("depth") + split.cast("int")).alias("depth"), F.when(split, F.concat("bucket", bit)).otherwise(F.col("bucket")).alias("bucket")).withColumn("held", load)
+        out = written(out, "directory")
+        if before is not None:
+            remove_table(before)
+        if out.filter(split).isEmpty():
+            return out
+        before = out
+
+
+def directories(entries: DataFrame, capacity: int = CAPACITY) -> list[tuple[int, DataFrame]]:
+    """Directories of growing width: what is overfull at the width of one is in the next, to which its prefixes lead."""
+    out, width = [], 0
+    while True:
+        n = entries.count()
+        more = SLACK + max(0, math.ceil(math.log2(max(1, n) / capacity)))
+        width = min(64, width + max(more, STEP) if out else more)
+        table = directory(entries, capacity, width)
+        out.append((width, table))
+        over = table.filter(F.col("held") > capacity).select("prefix")
+        if width == 64 or over.isEmpty():
+            return out
+        entries = written(entries.withColumn("prefix", prefix_of(F.col("key"), width)).join(over, "prefix", "left_semi").select("key"), "overfull")
+
+
+def with_bucket(rows: DataFrame, tables: list[tuple[int, DataFrame]], capacity: int = CAPACITY) -> DataFrame:
+    """rows (key, ...) with the bucket and depth that the directories lead their key to."""
+    out, columns = None, rows.columns
+    for k, (width, table) in enumerate(tables):
+        found = rows.withColumn("prefix", prefix_of(F.col("key"), width)).join(table.select("prefix", "bucket", "depth", "held"), "prefix")
+        last = k == len(tables) - 1
+        here = (found if last else found.filter(F.col("held") <= capacity)).select("bucket", "depth", *columns)
+        rows = found.filter(F.col("held") > capacity).select(*columns)
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+def build_index(docs: DataFrame, keys: DataFrame, capacity: int = CAPACITY, key=None) -> DataFrame:
+    """The index on shared files: (bucket, depth, key, chain, chained, n, keep_id, norm), norm only where a key has a chain.
+
+    docs (doc_id, text) are the rows and keys (doc_id, key) their keys. A task of the write owns whole buckets.
+    """
+    key = key or xx_key
+    entries = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id")), "entries")
+    tables = directories(entries.select("key"), capacity)
+    # texts of keys that surely are one row's alone stay where they are
+    norm = docs.select("doc_id", normalized(F.col("text")).alias("norm")).withColumn("key", key(F.col("norm")))
+    members = with_maybe(norm, F.col("key"), entries.filter("n > 1").select("key")).filter("maybe")
+    texts = members.groupBy("key", "norm").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
+    both = entries.select("key", F.lit(None).cast("string").alias("norm"), "n", "keep_id").unionByName(texts)
+    # the entry of a key stands before its texts, in the order of their bytes; it alone stays of a key with one row
+    own = Window.partitionBy("bucket", "key")
+    links = (
+        with_bucket(both, tables, capacity)
+        .repartition("bucket")
+        .sortWithinPartitions("bucket", "key", F.col("norm").asc_nulls_first())
+        .withColumns({"chain": F.row_number().over(own.orderBy(F.col("norm").asc_nulls_first())) - 2, "texts": F.count("norm").over(own), "rows": F.max(F.when(F.col("norm").isNull(), F.col("n"))).over(own)})
+        .filter((F.col("rows") > 1) == F.col("norm").isNotNull())
+    )
+    chained = (F.col("rows") > 1) & (F.col("texts") > 1)
+    path = shared_dir(docs.sparkSession, "index")
+    index = links.select("bucket", "depth", "key", F.greatest("chain", F.lit(0)).alias("chain"), chained.alias("chained"), "n", "keep_id", F.when(chained, F.col("norm")).alias("norm"))
+    index.write.parquet(path)
+    return docs.sparkSession.read.schema(index.schema).parquet(path)
 
 
 def xx_key(norm: Column) -> Column:
@@ -96,39 +136,34 @@ def sha_digest(norm: Column) -> Column:
     return F.unhex(F.sha2(F.encode(norm, "UTF-8"), 256))
 
 
-def exact_groups(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH, key=xx_key, digest=sha_digest) -> DataFrame:
+def exact_groups(docs: DataFrame, capacity: int = CAPACITY, key=xx_key) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
-    key and digest make the 64-bit key and the digest of a normalised text; with weak ones the result stays the same.
+    key makes the 64-bit key of a normalised text; with a weak one the result stays the same.
     """
     docs = docs.select("doc_id", "text")
-    keyed = _keyed(docs, key, digest)
-    digests = written(keyed.select("doc_id", "key", "digest", F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256")) if digest is not sha_digest else keyed.select("doc_id", "key", "digest"), "digests")
-    index, _ = build_index(digests, capacity, max_depth)
-    multi = written(index.filter("n > 1").select("key", "digest", "n", "keep_id"), "groups")
-    # The texts of groups alone are shuffled: per task and group the least and the greatest, which are equal if all bytes are.
-    members = _keyed(with_maybe(docs.withColumn("key", key(normalized(F.col("text")))), F.col("key"), multi).filter("maybe").drop("key", "maybe"), key, digest)
-    bytes_of = members.groupBy("key", "digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"))
-    odd = written(bytes_of.filter(F.col("least") != F.col("most")).select("key", "digest"), "chained")
-    sha = F.lower(F.hex("digest")) if digest is sha_digest else F.col("text_sha256")
-    found = digests.join(multi, ["key", "digest"], "left")
-    single = F.col("n").isNull()
-    if not odd.isEmpty():
-        found = found.join(odd, ["key", "digest"], "left_anti")
-        chained = members.join(odd, ["key", "digest"], "left_semi")
-        of = chained.groupBy("key", "digest", "norm").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id"))
-        of = of.withColumn("text_sha256", F.sha2(F.encode("norm", "UTF-8"), 256))
-        rest = chained.select("doc_id", "key", "digest", "norm").join(of, ["key", "digest", "norm"]).select("doc_id", "keep_id", F.col("n").alias("group_size"), "text_sha256")
+    norm = normalized(F.col("text"))
+    rows = written(docs.select("doc_id", key(norm).alias("key"), sha_digest(norm).alias("digest")), "rows")
+    index = build_index(docs, rows.select("doc_id", "key"), capacity, key)
+    # only keys of several rows are looked up: any other row is its own group
+    groups = written(index.filter("n > 1 AND NOT chained").select("key", "n", "keep_id"), "groups")
+    chains = written(index.filter("chained").select("key", "norm", "n", "keep_id"), "chains")
+    if not chains.isEmpty():
+        chained = chains.select("key").distinct()
+        of = docs.select("doc_id", norm.alias("norm")).withColumn("key", key(F.col("norm"))).join(chained, "key", "left_semi")
+        linked = of.join(chains, ["key", "norm"]).select("doc_id", "keep_id", F.col("n").alias("group_size"), sha_digest(F.col("norm")).alias("digest"))
+        rows = rows.join(chained, "key", "left_anti")
     else:
-        rest = None
-    out = found.select("doc_id", F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), sha.alias("text_sha256"))
-    out = out if rest is None else out.unionByName(rest)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        linked = None
+    found = rows.join(groups, "key", "left")
+    out = found.select("doc_id", F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "digest")
+    out = out if linked is None else out.unionByName(linked)
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def drop_exact(docs: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+def drop_exact(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """docs without the rows that don't stay; all columns of docs, whatever their names. Texts that surely have no copy aren't shuffled."""
-    groups = exact_groups(docs, capacity, max_depth).filter(~F.col("kept"))
+    groups = exact_groups(docs, capacity).filter(~F.col("kept"))
     gone = written(groups.select("doc_id", F.unhex("text_sha256").alias("digest")).distinct(), "gone")
     digest = sha_digest(normalized(F.col("row.text")))
     rows = docs.select(F.struct("*").alias("row"))

@@ -27,7 +27,7 @@ def lower(t):
 @pytest.mark.parametrize("capacity", [2, 1000])
 def test_exact_groups(spark, weak, capacity):
     docs = spark.createDataFrame(ODD, SCHEMA)
-    kinds = {"key": lambda c: F.pmod(F.xxhash64(c), F.lit(3)), "digest": lambda c: F.encode(F.substring(F.sha2(F.encode(c, "UTF-8"), 256), 1, 1), "UTF-8")} if weak else {}
+    kinds = {"key": lambda c: F.pmod(F.xxhash64(c), F.lit(3))} if weak else {}
     got = sorted(((r.doc_id or -1, r.text_sha256, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs, capacity, **kinds).collect()), key=str)
     groups = defaultdict(list)
     for i, t, _ in ODD:
@@ -47,10 +47,49 @@ def test_drop_exact_keeps_columns(spark):
 
 def test_directory_splits_only_overfull_buckets(spark):
     keys = spark.range(3000).select(F.xxhash64("id").alias("key")).unionByName(spark.range(500).select(F.lit(7).cast("long").alias("key")))
-    rows = exact_dedup.directory(keys, capacity=600, max_depth=8).collect()
+    rows = exact_dedup.directory(keys, capacity=600, width=8).collect()
     assert all(len(r.bucket) == r.depth and format(r.prefix, "08b").startswith(r.bucket) for r in rows)
     names = {r.bucket for r in rows}
     assert len(names) > 4 and not any(a != b and b.startswith(a) for a in names for b in names)
+    held = defaultdict(int)
+    for r in rows:
+        held[r.bucket] += r.n
+    assert all(r.held == held[r.bucket] and (r.held <= 600 or r.depth == 8) for r in rows)
+    parents = defaultdict(int)  # none was split without need
+    for b, n in held.items():
+        for k in range(len(b)):
+            parents[b[:k]] += n
+    assert all(n > 600 for n in parents.values())
+
+
+def test_directories_go_as_deep_as_keys_ask(spark):
+    low = spark.range(40).select(F.col("id").alias("key"))  # they differ in their last six bits only
+    keys = low.unionByName(spark.range(100).select(F.xxhash64("id").alias("key")))
+    tables = exact_dedup.directories(keys, capacity=10)
+    assert len(tables) > 3 and tables[-1][0] > 60
+    placed = exact_dedup.with_bucket(keys, tables, 10).collect()
+    assert sorted(r.key for r in placed) == sorted(r.key for r in keys.collect())
+    held = defaultdict(int)
+    for r in placed:
+        held[r.bucket] += 1
+        assert len(r.bucket) == r.depth and format(r.key & (2**64 - 1), "064b").startswith(r.bucket)
+    assert max(held.values()) <= 10
+
+
+def test_index_chains_texts_of_one_key(spark):
+    docs = spark.createDataFrame(ODD, SCHEMA).select("doc_id", "text")
+    weak = lambda c: F.pmod(F.xxhash64(c), F.lit(2))
+    keys = docs.select("doc_id", weak(exact_dedup.normalized(F.col("text"))).alias("key"))
+    index = exact_dedup.build_index(docs, keys, 2, weak).collect()
+    groups = defaultdict(list)
+    for i, t, _ in ODD:
+        groups[lower(t)].append(i)
+    assert sum(r.n for r in index) == len(ODD) and len(index) == len(groups)
+    for key in {r.key for r in index}:
+        own = sorted((r for r in index if r.key == key), key=lambda r: r.chain)
+        assert [r.chain for r in own] == list(range(len(own)))
+        if len(own) > 1:
+            assert all(r.chained and r.n == len(groups[r.norm]) for r in own) and [r.norm.encode() for r in own] == sorted(r.norm.encode() for r in own)
 
 
 def brute_fingerprint(text):
