@@ -53,6 +53,75 @@ def test_main_text():
     assert html_extract.main_text(PAGE[:-40]).endswith("text here.")
 
 
+PARAS = "".join(f"<p>{w} paragraph of the article with a number of plain words in it, and some more.</p>" for w in ("First", "Second", "Third"))
+ARTICLE = "\n\n".join(f"{w} paragraph of the article with a number of plain words in it, and some more." for w in ("First", "Second", "Third"))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content has-sidebar'><article><h1>Title</h1>{}</article></div>",
+        "<form id=aspnetForm><article><h1>Title</h1>{}</article></form>",
+        "<form><div class='page widget'><h1>Title</h1>{}</div></form>",
+        "<body class='with-comments'><div id=sidebar-layout><main><h1 class='post-header'>Title</h1>{}</main></div>",
+        "<article class='post comments-open'><div class='article-header'><h1>Title</h1></div>{}</article>",
+        "<div><section><h1>Title</h1>{}</section></div><div class='comments'><h3>Two</h3><article><p>I liked this text a lot, it is so good.</p></article></div>",
+        "<article><header><h1>Title</h1></header>{}<div class='post-comments'>" + "<p>A very long comment of a reader on the text, as there are many here.</p>" * 9 + "</div></article>",
+        "<div><h1>Title</h1>{}</div><div>" + "<a href=x>Some linked text that is long, longer than the text itself</a><br>" * 9 + "</div>",
+        "<div id=x><h1>Title</h1>{}<aside><p>By the way, a note that is beside the text.</p></aside></div><p class='ad-banner'>Buy these things, they are cheap now.</p>",
+    ],
+)
+def test_wrappers_keep_their_article(page):
+    assert html_extract.main_text(f"<html><nav><a href=/>Home</a></nav>{page.format(PARAS)}<footer>The end of it all</footer>") == f"Title\n\n{ARTICLE}"
+
+
+def test_short_blocks_at_the_end_stay():
+    items = "".join(f"<li>item {k} of the closing list</li>" for k in range(6))
+    text = html_extract.main_text(f"<body><div>{'<p>' + 'long text ' * 50 + '</p>'}{'<p>' + 'more text ' * 50 + '</p>'}<ul>{items}</ul></div><div><a href=x>elsewhere</a></div>")
+    assert text.count("closing list") == 6 and "elsewhere" not in text
+
+
+def test_ratios_decide_between_equal_elements(monkeypatch):
+    # the list has more text and no mark; without the ratios it would be the region
+    links = "<div>" + "".join(f"<li><a href={k}>a link to the page number {k} of all the pages</a></li>" for k in range(30)) + "</div>"
+    page = f"<div>{PARAS}</div>{links}"
+    assert html_extract.main_text(page) == ARTICLE
+    monkeypatch.setattr(html_extract, "clusters", lambda lines: np.ones(len(lines), bool))
+    assert html_extract.main_text(page) != ARTICLE
+
+
+@settings(max_examples=100, deadline=None)
+@given(lines=st.lists(st.tuples(st.integers(0, 300), st.integers(0, 6), st.integers(0, 300)), min_size=1, max_size=30))
+def test_clusters_against_brute_force(lines):
+    lines = [("x" * max(1, n), tags, min(links, max(1, n)), 0) for n, tags, links in lines]
+    own = [(len(t) - links) / (tags + 1) for t, tags, links, _ in lines]
+    kernel = {d: np.exp(-d * d / 2) for d in range(-2, 3)}
+    smoothed = []
+    for k in range(len(own)):
+        near = [(kernel[d], own[k + d]) for d in kernel if 0 <= k + d < len(own)]
+        smoothed.append(sum(w * x for w, x in near) / sum(w for w, _ in near))
+    mean = sum(smoothed) / len(smoothed)
+    bound = 0.5 * (sum((x - mean) ** 2 for x in smoothed) / len(smoothed)) ** 0.5
+    got = html_extract.clusters(lines)
+    assert all(g == (s > bound and o >= 1) for g, s, o in zip(got.tolist(), smoothed, own, strict=True) if abs(s - bound) > 1e-9)
+
+
+def test_tags_that_are_not_well_formed():
+    assert html_extract.main_text("<p>one two three<p title='x\">four five six</p><p>seven <b") == "one two three\n\nfour five six\n\nseven"
+    assert html_extract.main_text("<p>a < b & c &lt; d</p><!-- no > no --><p>e</p><script>if (a < b) '<p>'</script ><p>f<!-- g") == "a < b & c < d\n\ne\n\nf"
+    plain = "<p class=a id='b' x=\"<>\">t</p><br/><A HREF=x>u</A>"
+    assert html_extract.well_formed(plain) == plain
+
+
+@pytest.mark.parametrize("unit", ["<div>x", "<a ", "<a x=\"", "<!--", "<b>", "</i>", '<a b=">" ', "<i><div>", "&#", "<script>", "<li>x"])
+def test_long_odd_pages_take_time_in_proportion(unit):
+    import time
+
+    start = time.process_time()
+    html_extract.main_text(unit * (300_000 // len(unit)))
+    assert time.process_time() - start < 5  # a scan that goes back takes minutes
+
+
 def test_main_text_of_a_long_page():
     body = "<p>" + "word &amp; word " * 20_000 + "</p>"
     assert html_extract.main_text(f"<article>{body}</article>") == ("word & word " * 20_000).strip()
