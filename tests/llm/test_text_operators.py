@@ -171,13 +171,62 @@ def test_search_finds_all_within_the_budget():
     got = {(t, i): e for t, i, _, _, e in block.search(texts)}
     for t, text in enumerate(texts):
         for i, item in enumerate(items):
-            if block.least[i] > 0:
+            if block.edits[i]:
                 best = edit_distance(item, text)
                 assert got.get((t, i)) == (best if best <= block.edits[i] else None)
             else:
                 assert ((t, i) in got) == (b" " + item + b" " in b" " + text + b" ")
 
 
+@settings(max_examples=150, deadline=None)
+@given(data=st.data())
+def test_search_of_repetitive_texts_against_brute_force(data):
+    """Few letters and repeats, small pieces and windows of hits: places in every piece, repeated q-grams and many hits."""
+    unit = st.sampled_from([b"0", b"ab", b"abc ", b"aab", b"x1y2z3w4v5u6t7"])
+    part = st.tuples(unit, st.integers(1, 12)).map(lambda p: p[0] * p[1])
+    make = st.lists(part, min_size=1, max_size=5).map(b"".join)
+    items = data.draw(st.lists(make.filter(lambda x: len(x) > 12), min_size=1, max_size=3))
+    texts = []
+    for _ in range(data.draw(st.integers(1, 3))):
+        own = bytearray(data.draw(make) + data.draw(st.sampled_from(items)) + data.draw(make))
+        for _ in range(data.draw(st.integers(0, 4))):
+            own[data.draw(st.integers(0, len(own) - 1))] = data.draw(st.sampled_from(b"0ab7"))
+        texts.append(bytes(own))
+    kept = decontaminate.HITS, decontaminate.TEXT_BYTES, decontaminate.REPEAT
+    try:
+        decontaminate.HITS, decontaminate.TEXT_BYTES, decontaminate.REPEAT = data.draw(st.sampled_from([(5, 16, 1), (50, 64, 2), (1 << 21, 1 << 20, 8)]))
+        block = decontaminate.Block(list(range(len(items))), items)
+        found = block.search(texts)
+    finally:
+        decontaminate.HITS, decontaminate.TEXT_BYTES, decontaminate.REPEAT = kept
+    got = {(t, i): e for t, i, _, _, e in found}
+    for t, text in enumerate(texts):
+        for i, item in enumerate(items):
+            best = edit_distance(item, text)
+            assert got.get((t, i)) == (best if best <= block.edits[i] else None)
+    assert all(edit_distance(items[i], texts[t][a:b]) <= e for t, i, a, b, e in found)
+
+
+def test_repetitive_long_texts_take_bounded_memory():
+    import tracemalloc
+
+    item, near = b"0" * 800, b"0" * 400 + b"1" + b"0" * 399
+    texts = [b"0" * 80_000, (b"0" * 300 + b"1") * 20, b"a" * 3_000_000 + item]
+    tracemalloc.start()
+    got = {(t, i): e for t, i, _, _, e in decontaminate.Block([1], [item]).search(texts)}
+    got |= {(t, i + 1): e for t, i, _, _, e in decontaminate.Block([2], [near]).search([x[-6000:] for x in texts])}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == {(0, 0): 0, (0, 1): 1, (1, 0): edit_distance(item, texts[1][:2000]), (1, 1): 2, (2, 0): 0, (2, 1): 1} and peak < 500e6
+
+
+def test_items_of_one_edit_below_sixteen_bytes():
+    items = [b"thirteen chrs", b"fourteen chars", b"fifteen charsss"]
+    block = decontaminate.Block([0, 1, 2], items)
+    texts = [b"a " + x[:5] + b"#" + x[6:] + b" b" for x in items] + [b"thirtee chrs"]
+    assert {(t, i, e) for t, i, _, _, e in block.search(texts)} == {(0, 0, 1), (1, 1, 1), (2, 2, 1), (3, 0, 1)}
+
+
 def test_decontaminate_odd_tables(spark):
     passage = "The quick brown fox jumps over the lazy dog near the old river bank, and then it goes home to sleep."
     docs = spark.createDataFrame([(1, "Before. " + passage.upper() + " After.", 9), (2, "something else entirely " * 9, 9), (2, "something else entirely " * 9, 9), (3, None, 9), (None, passage, 9), (4, "x " * 100_000 + passage, 9)], "doc_id long, text string, item_ids int")
@@ -190,12 +239,14 @@ def test_decontaminate_odd_tables(spark):
     assert {(r.doc_id, r.item_id, r.edits) for r in decontaminate.matches(docs, bench).collect()} == {(1, 7, 0), (None, 7, 0), (4, 7, 0)}
 
 
-def test_decontaminate_in_blocks(spark, monkeypatch):
+def test_decontaminate_in_blocks(spark):
     bench = spark.createDataFrame([(k, f"item number {k} with its own words {k * 7919} and {k * 104729} in the middle of it") for k in range(20)], "item_id long, text string")
     docs = spark.createDataFrame([(k, f"lead {k} item number {k} with its own words {k * 7919} and {k * 104729} in the middle of it tail") for k in range(0, 20, 3)], "doc_id long, text string")
-    monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", (200,))
-    assert len(list(decontaminate.blocks_of(bench))) > 3
-    assert all(r.item_ids and r.doc_id in r.item_ids for r in decontaminate.judged(docs, bench).collect())
+    assert len(decontaminate.write_blocks(bench, 200)) > 3
+    whole = sorted((r.doc_id, r.item_ids) for r in decontaminate.judged(docs, bench).collect())
+    assert all(i in items for i, items in whole)
+    assert sorted((r.doc_id, r.item_ids) for r in decontaminate.judged(docs, bench, 200).collect()) == whole
+    assert decontaminate.drop_contaminated(docs, bench, 200).count() == 0 and decontaminate.matches(docs, bench, 200).count() == decontaminate.matches(docs, bench).count()
 
 
 def test_token_counts_against_brute_force(spark):
