@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 import string
 import struct
+import sys
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -35,8 +37,11 @@ MARKS = frozenset(string.punctuation)
 #: Characters whose class may be another one in a newer or older version of Unicode.
 UNSURE = re.compile("[\u0557-\u0560\u0588-\u0590\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7cb-\ua7f6\uab6c-\uab6f\U00010000-\U0001f2ff\U0001fb00-\U0010ffff]")
 
+#: Whether an array of four-byte integers already has the bytes of little-endian ids.
+_LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
+
 #: Python's split() also splits at these, the tokenizer doesn't.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 class _Memo(dict):
@@ -69,9 +74,9 @@ class _Words(_Memo):
     """As before; letters with one ASCII mark behind them are those letters' bytes and the mark's, and aren't kept themselves."""
 
     def __missing__(self, word: str) -> bytes:
-        if word[-1] in MARKS and _LETTERS.fullmatch(word, 0, len(word) - 1):
-            return self[word[:-1]] + self[word[-1]]
-        return super().__missing__(word)
+        if word[-1] in MARKS and (head := word[:-1]).isalpha() and (head.isascii() or _LETTERS.fullmatch(head)):
+            return self[head] + self[word[-1]]
+        return self.keep(word, self.old.get(word) or self.encode(word))
 
 
 def byte_letters() -> list[str]:
@@ -103,23 +108,27 @@ class WordTokenizer:
 
     def _word(self, word: str) -> bytes:
         """Ids of a word without white space."""
-        if not _PLAIN.fullmatch(word):
+        letters = word.isalpha()
+        if not (letters and word.isascii()) and not _PLAIN.fullmatch(word):
             return self.whole(word)
         ids, word = [], word.lower()
-        for part in (word,) if word.isalpha() else WORD_ANY.findall(word):
+        for part in (word,) if letters else WORD_ANY.findall(word):
             if not part.isascii():
                 part = "".join(map(self.letters.__getitem__, part.encode()))
             ids += [t.id for t in self.model.tokenize(part)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes() if _LITTLE else struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: str | None) -> bytes:
         """Ids of a text; a null text counts as empty."""
         if not text:
             return b""
-        if _ODD.search(text) or ("<|" in text and any(s in text for s in self.special)):
+        if any(c in text for c in _ODD) or ("<|" in text and any(s in text for s in self.special)):
             return self.whole(text)
-        if text.isascii():
-            text = text.lower()
+        try:
+            text.encode("latin-1")
+            text = text.lower()  # no letter of Latin-1 has more than one normal form, and each has one lower case
+        except UnicodeEncodeError:
+            pass
         return b"".join(map(self.memo.__getitem__, text.split()))
 
 
