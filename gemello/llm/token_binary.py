@@ -5,13 +5,14 @@ A shard file (all numbers little-endian):
     magic "GEMTOK1\\n", sha-256 of the dictionary (32 bytes)
     frames: one zstandard frame for each document, made with the dictionary, of its ids as 32-bit unsigned integers
     index: doc_id int64[n], frame offset uint64[n + 1], ids uint64[n]
-    footer: offset of the index uint64, n uint64, magic
+    footer: offset of the index uint64, n uint64, documents without a doc_id uint64, magic
 
 Shards hold ascending doc_id ranges in ascending order; the dictionary lies beside them in a file named by its hash, and a manifest
 table names the shard files that count. A reader of one short document reads the footer, the index and one frame.
 
-Null texts count as empty and hold the end id only. Rows that repeat a doc_id stay in the order of their texts. A null doc_id is
-written first (as the least 64-bit integer, and read back as null). An empty table gives a dictionary-less empty manifest and no rows.
+Null texts count as empty and hold the end id only. Rows that repeat a doc_id go in the order of their texts' hashes, so that many of them are
+spread over shards. Rows with a null doc_id are written first, as the footer tells. An empty table gives a dictionary-less empty manifest and no rows.
+A text of any length is one frame. Only doc_id and text are read, so that other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from gemello.session import shared_dir
 
 MAGIC = b"GEMTOK1\n"
 END_ID = 1
+#: What stands in the index for a null doc_id.
 NULL_ID = -(2**63)
 #: Documents the dictionary is trained on (about so many are taken, by hash), bytes taken of each, and the dictionary's bytes.
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 1000, 16_384, 65_536
@@ -88,7 +90,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> str:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(folder, digest))
         end = np.asarray([END_ID], "<u4").tobytes()
         uri = attempt_path(folder, shard, ".tok")
-        ids, offsets, counts, at, out = [], [], [], len(MAGIC) + 32, None
+        ids, offsets, counts, at, out, nulls = [], [], [], len(MAGIC) + 32, None, 0
         for b in slices(batches):
             if out is None:
                 out = fs.open_output_stream(open_fs(uri)[1])
@@ -98,6 +100,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> str:
                 frame = packer.compress(raw)
                 out.write(frame)
                 ids.append(NULL_ID if doc is None else doc)
+                nulls += doc is None
                 offsets.append(at)
                 counts.append(len(raw) // 4)
                 at += len(frame)
@@ -105,11 +108,12 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str) -> str:
         if out is not None:
             with out:
                 out.write(np.asarray(ids, "<i8").tobytes() + np.asarray([*offsets, at], "<u8").tobytes() + np.asarray(counts, "<u8").tobytes())
-                out.write(np.asarray([at, len(ids)], "<u8").tobytes() + MAGIC)
+                out.write(np.asarray([at, len(ids), nulls], "<u8").tobytes() + MAGIC)
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [uri], "n_docs": [len(ids)], "n_tokens": [sum(counts)]})
 
     manifest = f"{folder}/manifest"
-    docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(manifest)
+    mixed = docs.withColumn("mix", F.xxhash64("text"))  # rows of one doc_id can be split
+    mixed.repartitionByRange("doc_id", "mix").sortWithinPartitions("doc_id", "mix", "text").select("doc_id", "text").mapInArrow(write, MANIFEST).write.parquet(manifest)
     return manifest
 
 
@@ -130,10 +134,10 @@ class Shard:
         fs, path = open_fs(uri)
         self.file = fs.open_input_file(path)
         size = self.file.size()
-        foot = self.file.read_at(24, size - 24)
-        at, n = (int(x) for x in np.frombuffer(foot, "<u8", 2))
+        foot = self.file.read_at(32, size - 32)
+        at, n, self.nulls = (int(x) for x in np.frombuffer(foot, "<u8", 3))
         head = self.file.read_at(len(MAGIC) + 32, 0)
-        if foot[16:] != MAGIC or head[: len(MAGIC)] != MAGIC:
+        if foot[24:] != MAGIC or head[: len(MAGIC)] != MAGIC:
             raise ValueError(f"{uri} is not a token shard")
         raw = self.file.read_at(24 * n + 8, at)
         self.doc_ids = np.frombuffer(raw, "<i8", n)
@@ -148,7 +152,7 @@ class Shard:
 
     def find(self, doc_id: int) -> list[int]:
         """Places of a doc_id."""
-        return list(range(int(np.searchsorted(self.doc_ids, doc_id)), int(np.searchsorted(self.doc_ids, doc_id, "right"))))
+        return [k for k in range(int(np.searchsorted(self.doc_ids, doc_id)), int(np.searchsorted(self.doc_ids, doc_id, "right"))) if k >= self.nulls]
 
     def documents(self, chunk: int = 1 << 22):
         """Id bytes of all documents, by reads of about chunk bytes."""
@@ -173,8 +177,8 @@ def read_tokens(spark: SparkSession, manifest: str) -> DataFrame:
         for b in batches:
             for shard, uri, base in zip(*(b.column(c).to_pylist() for c in ("shard", "path", "base")), strict=True):
                 file, at, rows = Shard(uri), base or 0, []
-                for doc, raw in zip(file.doc_ids.tolist(), file.documents(), strict=True):
-                    rows.append((shard, None if doc == NULL_ID else doc, at, len(raw) // 4, zlib.crc32(raw)))
+                for k, (doc, raw) in enumerate(zip(file.doc_ids.tolist(), file.documents(), strict=True)):
+                    rows.append((shard, None if k < file.nulls else doc, at, len(raw) // 4, zlib.crc32(raw)))
                     at += len(raw) // 4
                     if len(rows) >= 8192:
                         yield _batch(rows)

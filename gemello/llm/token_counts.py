@@ -5,7 +5,8 @@ of a field between separators (lines, by default). Token spans and section spans
 crosses a boundary goes whole to the section that holds most of its characters, to the earlier of equals, so that the counts of all
 sections add up to the tokens of the document. Separators between sections belong to the section before them.
 
-A null or empty field has one empty section without tokens. Repeated rows are rows of their own. An empty table gives no rows.
+A null or empty field has one empty section without tokens. Repeated rows are rows of their own, and so is a null doc_id. An empty table gives no rows.
+A text of any length is encoded at once, as its tokens depend on no cut. Only the named columns are read, so that others may have any name.
 """
 
 from __future__ import annotations
@@ -66,7 +67,6 @@ def count_sections(docs: DataFrame, tokenizer: str, fields: tuple[str, ...] = ("
                     rows = []
             if rows:
                 yield _batch(rows)
-        encode.forget()
 
     return docs.select(ident, *fields).mapInArrow(run, SECTIONS)
 

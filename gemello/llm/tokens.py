@@ -1,9 +1,9 @@
-"""Whole-text tokenisation by the tokenizers library, memoised by pre-token.
+"""Whole-text tokenisation by the tokenizers library, memoised by word where only ids are wanted.
 
-Both supported tokenizers split a text into pre-tokens with a fixed pattern and encode each pre-token on its own, so the
-ids of a text are the concatenated ids of its pre-tokens, and the library encodes each distinct one once. Only characters whose class, case
-and normal form are surely the library's are split here: printable ASCII and the letters of ``LATIN`` for word BPE, all but
-``UNSURE`` for byte BPE. Other words, and for byte BPE other texts, go to the library as they are; so do texts that name a special token.
+Word BPE splits a text into pre-tokens with a fixed pattern and encodes each pre-token on its own, so the ids of a text are the concatenated ids
+of its pre-tokens, and the library encodes each distinct one once. Only words whose characters' class, case and normal form are surely the
+library's are split here: printable ASCII and the letters of ``LATIN``. Other words go to the library as they are, and so do texts that name
+a special token. Byte BPE encodes whole texts, as their offsets are wanted.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import struct
 import sys
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import regex
@@ -24,19 +25,14 @@ from gemello.llm.batches import release
 #: Distinct pre-tokens (or blank-separated words) kept in each of two generations in a worker, so that its memory is bounded.
 MEMO = 200_000
 
-# The tokenizers' pre-token patterns, the first for text that is already lower-cased.
+# Fixed value: the tokenizer's pre-token pattern, for text that is already lower-cased.
 WORD_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
-SPAN_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
-SPAN_ANY = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 
 #: Letters beside ASCII that no normal form changes and that lower() maps one to one.
 LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017f"
 _PLAIN = re.compile(f"[!-~{LATIN}]+")
 _LETTERS = re.compile(f"[A-Za-z{LATIN}]+")
 MARKS = frozenset(string.punctuation)
-#: Characters whose class may be another one in a newer or older version of Unicode.
-UNSURE = re.compile("[\u0557-\u0560\u0588-\u0590\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7cb-\ua7f6\uab6c-\uab6f\U00010000-\U0001f2ff\U0001fb00-\U0010ffff]")
-
 #: Whether an array of four-byte integers already has the bytes of little-endian ids.
 _LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 
@@ -133,32 +129,16 @@ class WordTokenizer:
 
 
 class SpanTokenizer:
-    """Encodes texts with a byte-level BPE file (no normaliser) into the character spans of their tokens."""
+    """Encodes whole texts with a byte-level BPE file (no normaliser) into the character spans of their tokens."""
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo = _Memo(self._spans)
-
-    def forget(self) -> None:
-        self.memo.forget()
-        release()
-
-    def _spans(self, word: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).offsets, dtype="<u4").tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Rows (start, end) in characters, in token order; tokens inside one character share its span."""
-        if not text:
-            return np.zeros((0, 2), np.int64)
-        if not text.isascii() and UNSURE.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-        words = (SPAN_ASCII if text.isascii() else SPAN_ANY).findall(text)
-        parts = list(map(self.memo.__getitem__, words))
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        counts = np.fromiter(map(len, parts), np.int64, len(parts)) // 8
-        starts = np.cumsum(lengths) - lengths
-        return np.frombuffer(b"".join(parts), "<u4").reshape(-1, 2).astype(np.int64) + np.repeat(starts, counts)[:, None]
+        spans = self.tokenizer.encode(text or "", add_special_tokens=False).offsets
+        return np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
 
 
 @lru_cache(maxsize=2)

@@ -4,11 +4,16 @@ A rule names a host and a path: it fits that host and all its subdomains, where
 wins. Hosts of pages that rules allow are trusted seeds, hosts of pages that rules block are distrusted ones, each in proportion to its
 pages. Trust is personalised PageRank from the trusted seeds along host edges; distrust is the same from the blocked seeds along
 reversed edges, so that it reaches hosts that link to bad ones. A host is blocked if its distrust is over its trust and over the
-threshold's share of what a host gets all of whose pages are blocked; any other is allowed. Host edges come from the links of the pages that
-name a host, with a scheme or from "//" on. Rounds go on until no rank changes by more than ``TOLERANCE`` (of itself where it is over 1).
+threshold's share of what a host gets all of whose pages are blocked; any other is allowed. Rounds go on until no rank changes by more than
+``TOLERANCE`` (of itself where it is over 1). What reaches a host without edges ends there.
+
+Host edges are of two kinds. Links: each link of a page that names another host, with a scheme or from "//" on, and each relative link of a page
+whose <base> names one. Domains: a host and its parent domain (the host without its first label, of two labels or more) are linked
+both ways by ``DOMAIN`` links, as are that domain and its own parent, so that hosts of one domain share some of their ranks.
 
 A null url or one without "://" has an empty host and path, to which no rule and no seed applies. Repeated rows are rows of their own
-and count as pages. A null html has no links. An empty table gives no rows.
+and count as pages. A null html has no links. An empty table gives no rows. Of equally long rules that fit the first by text wins. Pages of
+any length are read whole by patterns that never go back. Only page_id, url and html are read, so that other columns may have any name.
 """
 
 from __future__ import annotations
@@ -18,12 +23,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gemello.session import written
+from gemello.session import remove_table, written
 
 #: ROUNDS pass between two looks at how much ranks still change.
-DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 8, 0.5, 1e-9
+DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 16, 0.5, 1e-9
 #: Rounds between two writes that cut the lineage; the change is that between the last two.
-CUT = 4
+CUT = 8
+#: Links that stand for belonging to a domain.
+DOMAIN = 1
 #: More rules than these are joined by host rather than tried in turn.
 INLINE_RULES = 200
 
@@ -69,29 +76,45 @@ def with_rule(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def host_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst, n): links from pages of one host to another."""
-    link = F.explode(F.regexp_extract_all("html", F.lit(r"""(?i)\bhref\s*=\s*["']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""), 1))
-    full = F.when(F.col("link").startswith("//"), F.concat(F.lit("http:"), "link")).otherwise(F.col("link"))
-    linked = pages.filter(F.col("html").isNotNull()).select("host", link.alias("link")).select(F.col("host").alias("src"), host_of(full).alias("dst"))
-    return linked.filter("src <> dst AND src <> '' AND dst <> ''").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
+    """(src, dst, n): links from pages (host, html) of one host to another, and between hosts and their domains."""
+    named = r"""(?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+"""
+    full = lambda link: host_of(F.when(link.startswith("//"), F.concat(F.lit("http:"), link)).otherwise(link))
+    href = lambda what: F.regexp_extract_all("html", F.lit(rf"""(?i)\bhref\s*=\s*["']?\s*({what})"""), 1)
+    linked = pages.filter(F.col("html").isNotNull())
+    outer = linked.select(F.col("host").alias("src"), F.explode(href(named)).alias("link")).select("src", full(F.col("link")).alias("dst"), F.lit(1).alias("n"))
+    # what neither names a host nor stays on its page is relative to the base
+    base = full(F.regexp_extract("html", rf"""(?i)<base\b[^>]*?\bhref\s*=\s*["']?\s*({named})""", 1))
+    inner = linked.filter(F.col("html").rlike("(?i)<base\\b")).select(F.col("host").alias("src"), base.alias("dst"), F.size(href(r"""(?![a-z][a-z0-9+.-]*:|//|#)[^"'\s>]+""")).alias("n"))
+    links = outer.unionByName(inner).filter("src <> dst AND src <> '' AND dst <> '' AND n > 0").groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    links = written(links, "links")
+    hosts = pages.select("host").unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    labels = F.split("host", "\\.")
+    name = lambda k: F.array_join(F.slice(labels, k, F.size(labels)), ".")
+    # of a host of k labels, the pairs (itself, its parent), (its parent, that one's) and so on, down to two labels
+    chain = F.filter(F.sequence(F.lit(1), F.greatest(F.size(labels) - 2, F.lit(1))), lambda k: k <= F.size(labels) - 2)
+    steps = hosts.select(F.explode(F.transform(chain, lambda k: F.struct(name(k).alias("low"), name(k + 1).alias("up")))).alias("s")).select("s.*").filter("low <> '' AND up <> ''").distinct()
+    both = steps.select(F.explode(F.array(F.struct(F.col("low").alias("src"), F.col("up").alias("dst")), F.struct(F.col("up").alias("src"), F.col("low").alias("dst")))).alias("e")).select("e.*", F.lit(DOMAIN).cast("long").alias("n"))
+    return links.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, rank) of rank = (1 - damping) seed + damping (what comes over edges), by rounds until the change is within tolerance.
 
-    seeds (kind, host, seed) and edges (kind, src, dst, share), where shares of a src sum to one, hold all kinds at once. What
-    reaches a host without edges ends there.
+    seeds (kind, host, seed) and edges (kind, src, dst, share), where shares of a src sum to one, hold all kinds at once.
     """
     seeds = written(seeds, "seeds")
     edges = written(edges, "edges")
     rank = cut = seeds.select("kind", "host", F.col("seed").alias("rank"))
+    start, before = cut, None
     while True:
         for k in range(rounds):
             sent = rank.join(edges, (rank.kind == edges.kind) & (rank.host == edges.src)).select(rank.kind, F.col("dst").alias("host"), (F.lit(damping) * F.col("rank") * F.col("share")).alias("rank"))
             rank = seeds.select("kind", "host", (F.lit(1 - damping) * F.col("seed")).alias("rank")).unionByName(sent).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
             if k % CUT == CUT - 1 or k == rounds - 1:
-                before, rank = cut, written(rank, "rank")
+                old, before, rank = before, cut, written(rank, "rank")
                 cut = rank
+                if old is not None and old is not start:
+                    remove_table(old)
         both = rank.withColumn("was", F.lit(0.0)).unionByName(before.select("kind", "host", F.lit(0.0).alias("rank"), F.col("rank").alias("was")))
         moved = both.groupBy("kind", "host").agg(F.sum("rank").alias("rank"), F.sum("was").alias("was"))
         if (moved.agg(F.max(F.abs(F.col("rank") - F.col("was")) / F.greatest("rank", F.lit(1.0)))).first()[0] or 0) <= tolerance:

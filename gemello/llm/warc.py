@@ -6,11 +6,13 @@ task writes one archive, and a manifest table names the archives that count.
 
 Reader. Archives are cut into byte ranges without an index. A task looks for the gzip magic in its range, takes a candidate as a
 member only if it inflates to a WARC version line and header block, and owns the records that start inside its range; it reads
-on past the end of the range to finish the last one. After a member the next one starts where the inflater stopped.
+on past the end of the range to finish the last one. After a member the next one starts where the inflater stopped. Archives of a manifest have
+nothing between members: a task that finds no member where its last one ended, in its range or behind it, or none at the start of the archive, fails,
+as a damaged or cut record would be lost otherwise.
 
 A null html counts as empty. Rows that repeat a page_id are records of their own; equal payloads refer to the largest page_id, and
 all rows that carry it are responses. A null page_id sorts below all others, and its records refer like others. An empty
-table gives no archive and no rows.
+table gives no archive and no rows. A payload of any length is one record. Only page_id, url and html are read, so that other columns may have any name.
 """
 
 from __future__ import annotations
@@ -152,14 +154,22 @@ def _member(window: _Window, start: int) -> tuple[bytes, int] | None:
     return (b"".join(parts), at) if known else None
 
 
-def members(uri: str, start: int, end: int):
-    """(place, content) of the WARC records of an archive that start in [start, end)."""
+def members(uri: str, start: int, end: int, strict: bool = False, expected: int | None = None):
+    """(place, content) of the WARC records of an archive that start in [start, end).
+
+    If strict, what lies between members is an error, as is an archive that isn't of the expected bytes.
+    """
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as file:
         size = file.size()
+        if strict and expected is not None and size != expected:
+            raise ValueError(f"{uri} has {size} bytes, not {expected}")
         window, at = _Window(file, size), start
+        sure = strict and start == 0  # a member has to start here
         while at < min(end, size):
             raw = window.at(at, CHUNK)
+            if sure and not raw.startswith(MAGIC):
+                raise ValueError(f"no record at {at} of {uri}")
             k = raw.find(MAGIC)
             if k < 0:
                 at += max(1, len(raw) - len(MAGIC) + 1)
@@ -169,10 +179,15 @@ def members(uri: str, start: int, end: int):
                 return
             found = _member(window, at)
             if found is None:
+                if sure:
+                    raise ValueError(f"the record at {at} of {uri} is damaged")
                 at += 1
             else:
                 yield at, found[0]
-                at = found[1]
+                at, sure = found[1], strict
+        # the record that starts behind the range is another task's, which can't tell a damaged one from the end of this one
+        if sure and at < size and _member(window, at) is None:
+            raise ValueError(f"the record at {at} of {uri} is damaged")
 
 
 def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
@@ -200,13 +215,13 @@ def _row(place: int, raw: bytes, uri: str) -> tuple:
 def read_archives(spark: SparkSession, manifest: str, split: int = SPLIT) -> DataFrame:
     """Records of the archives that a manifest names, by byte ranges of split bytes."""
     archives = spark.read.schema(MANIFEST).parquet(manifest)
-    ranges = archives.select("archive", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("start"))
+    ranges = archives.select("archive", "bytes", F.explode(F.sequence(F.lit(0), F.col("bytes") - 1, F.lit(split))).alias("start"))
 
     def read(batches):
         for b in batches:
             rows = []
-            for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for place, raw in members(uri, start, start + split):
+            for uri, size, start in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for place, raw in members(uri, start, start + split, True, size):
                     rows.append(_row(place, raw, uri))
                     if len(rows) >= 4096:
                         yield _batch(rows)

@@ -206,13 +206,27 @@ def test_pack_odd_tables(spark):
     assert packing.pack(docs.limit(0), WORDS).count() == 0
 
 
+def test_many_rows_of_one_id_are_spread(spark):
+    docs = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.lit(7)).alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text")).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows make one shard
+    try:
+        manifest = token_binary.write_tokens(docs, shared_dir(spark, "tokens"), WORDS)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = [r.n_docs for r in spark.read.parquet(manifest).collect()]
+    assert sum(shards) == 4000 and max(shards) < 2600
+    got = token_binary.read_tokens(spark, manifest).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted([r.doc_id for r in got], key=lambda i: (i is not None, i or 0)) and sum(r.doc_id is None for r in got) == 1334
+
+
 def test_token_files_round_trip(spark):
     texts = {3: "some words", 1: None, 2: "", 9: "word " * 20_000, 4: "é 日本"}
-    docs = spark.createDataFrame([*((k, t, 5) for k, t in texts.items()), (4, "é 日本", 5), (None, "null id", 5)], "doc_id long, text string, start int")
+    docs = spark.createDataFrame([*((k, t, 5) for k, t in texts.items()), (4, "é 日本", 5), (None, "null id", 5), (-(2**63), "least id", 5)], "doc_id long, text string, start int")
     folder = shared_dir(spark, "tokens")
     manifest = token_binary.write_tokens(docs, folder, WORDS)
     rows = sorted(token_binary.read_tokens(spark, manifest).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 4, 9]
+    assert [r.doc_id for r in rows] == [None, -(2**63), 1, 2, 3, 4, 4, 9]
+    texts[-(2**63)] = "least id"
     at = 0
     for r in rows:
         ids = np.asarray(ids_of("null id" if r.doc_id is None else texts[r.doc_id]), "<u4")
@@ -221,7 +235,7 @@ def test_token_files_round_trip(spark):
     for s in spark.read.parquet(manifest).collect():
         shard = token_binary.Shard(s.path)
         for k, doc in enumerate(shard.doc_ids.tolist()):
-            assert shard.find(doc) and np.frombuffer(shard.document(k), "<u4").tolist() == ids_of("null id" if doc == token_binary.NULL_ID else texts[doc])
+            assert (k < shard.nulls or k in shard.find(doc)) and np.frombuffer(shard.document(k), "<u4").tolist() == ids_of("null id" if k < shard.nulls else texts[doc])
     assert token_binary.token_files(docs.limit(0), WORDS).count() == 0
 
 
@@ -266,6 +280,31 @@ def test_reader_rejects_false_members(tmp_path):
     assert by_range == places
 
 
+def test_damaged_records_are_an_error(spark, tmp_path):
+    import gzip
+
+    whole = [gzip.compress(warc.record(k, "u", "p" * 50 * k, "D", 50 * k, 0, True)) for k in range(1, 6)]
+    path = tmp_path / "x.warc.gz"
+    for k in range(5):
+        cut = bytearray(whole[k])
+        cut[len(cut) // 2] ^= 0xFF
+        raw = b"".join([*whole[:k], bytes(cut), *whole[k + 1 :]])
+        path.write_bytes(raw)
+        for split in (11, 100, 10**6):
+            with pytest.raises(ValueError):
+                for at in range(0, len(raw), split):
+                    list(warc.members(str(path), at, at + split, True, len(raw)))
+    raw = b"".join(whole)
+    for end in (len(raw), len(raw) - 9, len(raw) - len(whole[-1])):
+        path.write_bytes(raw[:end])
+        got = lambda: [p for at in range(0, len(raw), 40) for p, _ in warc.members(str(path), at, at + 40, True, len(raw))]
+        if end == len(raw):
+            assert len(got()) == 5
+        else:
+            with pytest.raises(ValueError):
+                got()
+
+
 RULES = [url_graph.Rule(*r) for r in (("com", "/en/", False), ("example.com", "/en/7", True), ("net", "/de/", True), ("example.net", "/de/8", False), ("org", "/es/", False))]
 
 
@@ -289,7 +328,7 @@ def test_trust_and_distrust_spread(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r for r in url_graph.judge(pages, RULES).collect()}
     assert got[6].verdict == "block" and got[4].verdict == got[5].verdict == "allow" and got[3].verdict == "block"
-    # the same by a dense power iteration
+    # the same by a dense power iteration; hosts of two labels have no domain
     hosts = ["good.net", "fine.io", "bad.org", "elsewhere.io", "farm.io"]
     at = {h: k for k, h in enumerate(hosts)}
     for name, seed, arrows in (("trust", {"good.net": 1.0}, [("good.net", "fine.io", 1.0), ("bad.org", "elsewhere.io", 1.0), ("farm.io", "bad.org", 1.0)]), ("distrust", {"bad.org": 2 / 3}, [("fine.io", "good.net", 1.0), ("elsewhere.io", "bad.org", 1.0), ("bad.org", "farm.io", 1.0)])):
@@ -302,3 +341,15 @@ def test_trust_and_distrust_spread(spark):
         for _ in range(url_graph.ROUNDS):
             r = 0.15 * s + 0.85 * m @ r
         assert all(abs(getattr(got[p], name) - r[at[got[p].host]]) < 1e-9 for p in got)
+
+
+def test_domains_and_bases_are_edges(spark):
+    rows = [(1, "http://a.bad.org/es/1", None), (2, "http://b.bad.org/other", None), (3, "http://c.d.fine.net/de/1", '<base href="//far.io/"><a href="x">1</a><a href=y>2</a><a href="#z">'), (4, "http://far.io/", "<a href='/own'>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    edges = {(r.src, r.dst): r.n for r in url_graph.host_edges(pages.select(url_graph.host_of(F.col("url")).alias("host"), "html")).collect()}
+    up = [("a.bad.org", "bad.org"), ("b.bad.org", "bad.org"), ("c.d.fine.net", "d.fine.net"), ("d.fine.net", "fine.net")]
+    # the base itself and the two links that it holds for
+    assert edges == {("c.d.fine.net", "far.io"): 3, **{e: 1 for e in up}, **{(b, a): 1 for a, b in up}}
+    got = {r.page_id: r for r in url_graph.judge(pages, RULES).collect()}
+    # b.bad.org has no blocked page of its own: what reaches it comes over its domain
+    assert got[2].distrust > 0.075 and got[2].trust == 0 and got[2].verdict == "block" and got[4].verdict == "allow" and got[4].trust > 0
