@@ -20,6 +20,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ from gemello.session import remove_table, written
 DAMPING, ROUNDS, THRESHOLD, TOLERANCE = 0.85, 16, 0.5, 1e-9
 #: Rounds between two writes that cut the lineage; the change is that between the last two.
 CUT = 8
+#: Edges and seeds that one task iterates over at once; more go by rounds of joins, to the same ranks.
+ONE_TASK = 200_000
 #: Links that stand for belonging to a domain.
 DOMAIN = 1
 #: More rules than these are joined by host rather than tried in turn.
@@ -97,6 +101,21 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.unionByName(both).groupBy("src", "dst").agg(F.sum("n").alias("n"))
 
 
+def iterate(kind: np.ndarray, src: np.ndarray, dst: np.ndarray, share: np.ndarray, damping: float, tolerance: float) -> list[tuple[str, str, float]]:
+    """The ranks of propagate, from rows of seeds (src null) and edges in one place."""
+    names, at = np.unique(np.concatenate([np.char.add(np.char.add(kind, " "), h) for h in (np.where(src == None, "", src).astype(str), dst.astype(str))]), return_inverse=True)  # noqa: E711
+    a, b, seed = at[: len(src)], at[len(src) :], src == None  # noqa: E711
+    start = np.bincount(b[seed], share[seed], len(names))
+    a, b, share = a[~seed], b[~seed], share[~seed]
+    rank = start
+    while True:
+        new = (1 - damping) * start + damping * np.bincount(b, rank[a] * share, len(names))
+        moved = np.max(np.abs(new - rank) / np.maximum(new, 1), initial=0)
+        rank = new
+        if moved <= tolerance:
+            return [(*names[k].split(" ", 1), float(rank[k])) for k in np.flatnonzero(rank)]
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """(kind, host, rank) of rank = (1 - damping) seed + damping (what comes over edges), by rounds until the change is within tolerance.
 
@@ -104,6 +123,19 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = DAMPING, roun
     """
     seeds = written(seeds, "seeds")
     edges = written(edges, "edges")
+    if edges.count() + seeds.count() <= ONE_TASK:
+        rows = seeds.select("kind", F.lit(None).cast("string").alias("src"), F.col("host").alias("dst"), F.col("seed").alias("share")).unionByName(edges.select("kind", "src", "dst", "share"))
+
+        def run(batches):
+            held = [b for b in batches if b.num_rows]
+            if held:
+                columns = [np.concatenate([np.asarray(b.column(k).to_pylist(), object) for b in held]) for k in range(4)]
+                ranks = iterate(columns[0].astype(str), columns[1], columns[2], columns[3].astype(float), damping, tolerance)
+                if ranks:
+                    kind, host, rank = zip(*ranks, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(host), pa.array(rank)], ["kind", "host", "rank"])
+
+        return written(rows.coalesce(1).mapInArrow(run, "kind string, host string, rank double"), "rank")
     rank = cut = seeds.select("kind", "host", F.col("seed").alias("rank"))
     start, before = cut, None
     while True:

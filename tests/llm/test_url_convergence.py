@@ -1,13 +1,16 @@
 """Ranks of hosts that are many links or a cycle away from the seeds."""
 
 import numpy as np
+import pytest
 
 from gemello.llm import url_graph
 
 RULES = [url_graph.Rule("bad.org", "/", False)]
 
 
-def test_ranks_converge_over_long_chains_cycles_and_links_without_scheme(spark):
+@pytest.mark.parametrize("one_task", [0, url_graph.ONE_TASK])
+def test_ranks_converge_over_long_chains_cycles_and_links_without_scheme(spark, monkeypatch, one_task):
+    monkeypatch.setattr(url_graph, "ONE_TASK", one_task)
     hosts = ["bad.org"] + [f"h{k}.io" for k in range(1, 13)]
     links = {a: [b] for a, b in zip(hosts[1:], hosts, strict=False)} | {"bad.org": ["h2.io"], "h3.io": ["h2.io", "h5.io"]}
     pages = [(k, f"http://{h}/", "".join(f'<a href="//{t}/x?u=http://other.io/">' for t in links[h])) for k, h in enumerate(hosts)]
