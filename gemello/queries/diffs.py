@@ -52,18 +52,6 @@ def t11(spark, d):
     return rows.withColumn("ok", ok("lhs") & ok("rhs")).groupBy("file_key").agg(F.count("lhs").alias("lhs_lines"), F.count("rhs").alias("rhs_lines"), F.bool_and("ok").alias("in_order"))
 
 
-@query(
-    "t26_line_edits",
-    f"""WITH {SNAPSHOTS} SELECT b.path AS file_key, CAST(CASE WHEN n % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS appended FROM (SELECT *, CAST(regexp_extract(path, '([0-9]+)[.]txt$', 1) AS BIGINT) AS n FROM base) b JOIN head h ON b.path = h.path WHERE b.oid <> h.oid AND n % 10 = 3""",
-)
-def t26(spark, d):
-    """Of files with an appended line: that line alone is new on a row of its own or of changed words."""
-    own = edit_pairs(spark, d).filter(F.regexp_extract("file_key", r"([0-9]+)\.txt$", 1).cast("long") % 10 == 3)
-    rows = a.aligned(own)
-    last = F.max("rhs").over(Window.partitionBy("file_key"))
-    return rows.withColumn("last", last).groupBy("file_key").agg(F.count_if((F.col("rhs") == F.col("last")) & F.col("lhs").isNull()).alias("appended"))
-
-
 @query(
     "t26_line_edits_all",
     f"""WITH {SNAPSHOTS}, p AS (

@@ -23,20 +23,15 @@ _docs("x2_split_keep", "len(regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+'))", la
 _docs("x3_split_terminator", "len(string_split(text || chr(10), chr(10))) - 1", lambda t: F.size(x.split_terminator(F.concat(t, F.lit("\n")))).cast("long"))
 _docs("x4_split_words", "len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]'))", lambda t: F.size(x.split_words(t)).cast("long"))
 _docs("x5_split_words_numbers", "len(regexp_extract_all(text, '[0-9]+|[\\p{L}_]+|[^\\p{L}\\p{N}_]'))", lambda t: F.size(x.split_words_and_numbers(t)).cast("long"))
-_docs("x6_similarity", "CAST(round(100 * (1 - levenshtein(left(regexp_replace(text, '[^ -~]', '', 'g'), 40), substr(regexp_replace(text, '[^ -~]', '', 'g'), 11, 40)) / greatest(length(left(regexp_replace(text, '[^ -~]', '', 'g'), 40)), length(substr(regexp_replace(text, '[^ -~]', '', 'g'), 11, 40))))) AS INT)",
-      lambda t: (lambda a: x.similarity_percent(F.left(a, F.lit(40)), F.substring(a, 11, 40)))(F.regexp_replace(t, "[^ -~]", "")))
 _docs("x7_comment_form", "CASE WHEN contains(text, chr(10)) THEN array_to_string(list_transform(string_split(replace(text, chr(10), chr(10) || '  '), chr(10)), lambda p: regexp_replace(p, '^\\s+', '')), chr(10)) ELSE text END",
       lambda t: x.comment_form(F.regexp_replace(t, "\n", "\n  ")))
 _docs("x8_line_bytes", "octet_length(encode(text))", lambda t: x.line_bytes(F.concat(t, F.lit("\n"))).cast("long"))
 _docs("x10_capitalized", "upper(left(lower(text), 1)) || substr(lower(text), 2)", lambda t: x.capitalized(F.lower(t)))
 _docs("x11_numbered", "array_to_string(list_transform(string_split(text, chr(10)), lambda p, i: lpad(CAST(i AS VARCHAR), 5, ' ') || ' | ' || p), chr(10))", x.numbered)
-_docs("x13_separators", "replace(replace('[' || left(text, 20) || chr(8232) || chr(133) || ']', chr(8232), '\\u2028'), chr(133), '\\u0085')",
-      lambda t: __import__("gemello.sinks", fromlist=["x"]).escape_separators(F.concat(F.lit("["), F.left(t, F.lit(20)), F.lit("\u2028\u0085]"))))
 _docs("x13_separators_whole", "replace(text, chr(10), '\\u2028\\u0085\\u2029') || '\\u2029'",
       lambda t: __import__("gemello.sinks", fromlist=["x"]).escape_separators(F.concat(F.replace(t, F.lit("\n"), F.lit("\u2028\u0085\u2029")), F.lit("\u2029"))))
 _docs("x14_human_size", "CASE WHEN length(text) < 1024 THEN length(text) || ' B' ELSE CAST(round(length(text) * 10 / 1024) AS BIGINT) // 10 || '.' || CAST(round(length(text) * 10 / 1024) AS BIGINT) % 10 || ' KiB' END",
       lambda t: x.human_size(F.length(t)))
-_docs("x18_terminal_safe", "left(text, 30) || '[0m'", lambda t: x.without_controls(F.concat(F.left(t, F.lit(30)), F.lit("\x1b[0m\x07"))))
 _docs("x18_terminal_safe_whole", "replace(text, chr(10), '[0m' || chr(9) || chr(10)) || '[0m'",
       lambda t: x.without_controls(F.concat(F.replace(t, F.lit("\n"), F.lit("\x1b[0m\x07\t\u009b\n")), F.lit("\x1b[0m\x7f"))))
 _docs("x19_short_revision", "left(sha1(encode(text)), 7)", lambda t: x.short_revision(F.sha1(F.encode(t, "UTF-8"))))
