@@ -6,7 +6,7 @@ manifest last and by content id, so that neither the manifest nor its renames ca
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gemello.functions.classify import hidden_reason, with_tags
 from gemello.functions.languages import guess, static_fallback
-from gemello.operators import alignment, syntax, treematch
+from gemello.operators import alignment, sliders, syntax, treematch
 from gemello.operators.manifest import exact_renames, manifest
 from gemello.operators.ranking import global_row_number
 from gemello.sinks import envelope, record_lines
@@ -58,6 +58,16 @@ def file_pairs(base: DataFrame, head: DataFrame, options: Options = Options()) -
 DIFF = "file_key string, cause string, added long, removed long, rows array<struct<kind:string,lhs:bigint,rhs:bigint>>"
 
 
+def _without_comments(positions: list[tuple], nodes: Iterable[syntax.Node]) -> list[tuple]:
+    """Positions with those inside comments ignored, whole ones and their words."""
+    by_line: dict[int, list[tuple[int, int]]] = {}
+    for n in nodes:
+        for line, start, end in n.spans if n.kind == "comment" else ():
+            by_line.setdefault(line, []).append((start, end))
+    inside = lambda p: any(start <= p[1] and p[2] <= end for start, end in by_line.get(p[0], ()))
+    return [(*p[:3], "ignored", None) if inside(p) else p for p in positions]
+
+
 def diff_text(lhs: str, rhs: str, language: str | None, cause: str, options: Options) -> tuple[str, int, int, list]:
     """(cause, added, removed, rows) of two texts: by structure if that can be done, else by lines, and why."""
     by_line = alignment.line_positions(lhs, rhs) if lhs != rhs else ([], [])
@@ -66,11 +76,11 @@ def diff_text(lhs: str, rhs: str, language: str | None, cause: str, options: Opt
     if cause == "structural" and lhs != rhs:
         try:
             a, b, changes = treematch.structural(lhs, rhs, language, options.graph_limit)
+            sliders.correct(a, b, changes, language)
             left, right = ({n.id: n for n in syntax.number(t)} for t in (a, b))
-            own = tuple([p for p in treematch.tree_positions(t, s, changes, o)] for t, s, o in ((a, "lhs", right), (b, "rhs", left)))
+            own = tuple(treematch.tree_positions(t, s, changes, o, words=True) for t, s, o in ((a, "lhs", right), (b, "rhs", left)))
             if options.ignore_comments:
-                skip = {s: {x for n in ns.values() if n.kind == "comment" for x in n.spans} for s, ns in (("lhs", left), ("rhs", right))}
-                own = tuple([p if (p[0], p[1], p[2]) not in skip[s] else (*p[:3], "ignored", None) for p in ps] for s, ps in zip(("lhs", "rhs"), own, strict=True))
+                own = tuple(_without_comments(ps, ns.values()) for ps, ns in zip(own, (left, right), strict=True))
         except syntax.ParseError:
             cause = "parse_error"
         except treematch.TooComplex:
