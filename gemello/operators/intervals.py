@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,13 +108,22 @@ def region_ids(items: DataFrame, keys: list[str]) -> DataFrame:
 def nest(spans: DataFrame, keys: list[str]) -> DataFrame:
     """spans (keys, id, start, end) with parent_id, the smallest other span that holds it; equal spans nest by id.
 
-    Spans don't cross. The parent is looked for among the spans that begin no later, by a self-join inside the keys.
+    Spans don't cross, so a stack over a file's spans by start has the parent on top.
     """
-    p = spans.select(*keys, F.col("id").alias("pid"), F.col("start").alias("ps"), F.col("end").alias("pe"))
-    inside = (F.col("ps") <= F.col("start")) & (F.col("pe") >= F.col("end")) & (F.col("pid") != F.col("id"))
-    strict = (F.col("ps") < F.col("start")) | (F.col("pe") > F.col("end")) | (F.col("pid") < F.col("id"))
-    best = spans.join(p, keys).filter(inside & strict).groupBy(*keys, "id").agg(F.min_by("pid", F.struct(F.col("pe") - F.col("ps"), -F.col("pid"))).alias("parent_id"))
-    return spans.join(best, [*keys, "id"], "left")
+
+    def parents(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["start", "end", "id"], ascending=[True, False, True], ignore_index=True)
+        open_, out = [], []
+        for k, end in zip(rows["id"].to_list(), rows["end"].to_list(), strict=True):
+            while open_ and open_[-1][1] < end:
+                open_.pop()
+            out.append(open_[-1][0] if open_ else None)
+            open_.append((k, end))
+        return rows.assign(parent_id=pd.Series(out, dtype="object"))
+
+    with_parent = spans.withColumn("parent_id", F.col("id")).schema
+    with_parent["parent_id"].nullable = True
+    return spans.groupBy(*keys).applyInPandas(parents, with_parent)
 
 
 def merge_folds(folds: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,12 +195,8 @@ def row_zip(items: DataFrame, keys: list[str]) -> DataFrame:
     right = items.filter("side = 'rhs'").select(*keys, "key", F.col("pos").alias("rhs"))
     j = left.join(right, [*keys, "key"], "full_outer")
     both = F.col("lhs").isNotNull() & F.col("rhs").isNotNull()
-    ahead = lambda c: F.min(F.when(both, F.col(c))).over(Window.partitionBy(*keys).orderBy(c).rowsBetween(0, Window.unboundedFollowing))
-    j = j.withColumn("block", F.when(F.col("lhs").isNotNull(), ahead("lhs")))
-    pairs = j.filter(both).select(*keys, F.col("lhs").alias("pl"), F.col("rhs").alias("pr"))
-    only = j.filter("lhs IS NULL").drop("block")
-    nxt = only.join(pairs, keys, "left").filter("pr IS NULL OR pr > rhs").groupBy(*keys, "key", "rhs").agg(F.min("pl").alias("block"))
-    lone = only.join(nxt, [*keys, "key", "rhs"], "left").select(*keys, "key", "lhs", "rhs", "block")
-    full = j.filter("lhs IS NOT NULL").select(*keys, "key", "lhs", "rhs", "block").unionByName(lone)
+    ahead = lambda c: F.min(F.when(both, F.col(c))).over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first(c)).rowsBetween(0, Window.unboundedFollowing))
+    nxt = F.min(F.when(both, F.col("lhs"))).over(Window.partitionBy(*keys).orderBy(F.asc_nulls_first("rhs")).rowsBetween(0, Window.unboundedFollowing))
+    full = j.withColumn("block", F.when(F.col("lhs").isNotNull(), ahead("lhs")).otherwise(nxt))
     order = [F.coalesce("block", F.lit(1 << 60)), F.when(both, 2).when(F.col("lhs").isNotNull(), 0).otherwise(1), F.coalesce("lhs", "rhs")]
     return full.withColumn("row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long")).select(*keys, "row", "key", "lhs", "rhs")

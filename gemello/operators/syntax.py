@@ -103,22 +103,34 @@ class _Places:
 def parse(text: str, language: str) -> Node:
     """The tree of a text; raises ParseError, or KeyError for a language without a provider."""
     family = PROVIDERS[language]
-    root = _parse_html(text) if family == "html" else _parse_lexis(text, FAMILIES[family])
+    root = _parse_html(text, language == "XML") if family == "html" else _parse_lexis(_Places(text), FAMILIES[family])
     number(root)
     return root
 
 
-def _parse_lexis(text: str, lexis: Lexis) -> Node:
-    places = _Places(text)
+def without_empty(children: list[Node]) -> list[Node]:
+    """Nodes without atoms that hold nothing."""
+    return [n for n in children if n.is_list or n.content]
+
+
+def flattened(n: Node) -> Node:
+    """A list without delimiters and with one child that says something is that child."""
+    n.children = without_empty(n.children)
+    return n.children[0] if n.is_list and len(n.children) == 1 and not n.open and not n.close else n
+
+
+def _parse_lexis(places: _Places, lexis: Lexis, at: int = 0, stop: int | None = None) -> Node:
+    """The tree of a text, or of a part of it."""
+    text, stop = places.text, len(places.text) if stop is None else stop
     opens = dict(zip(lexis.pairs[::2], lexis.pairs[1::2], strict=True))
     token = re.compile(rf"(?P<comment>{lexis.comment})|(?P<string>{lexis.string})|(?P<bracket>[{re.escape(lexis.pairs)}])|(?P<word>{lexis.word})|(?P<op>{lexis.operator})", re.S)
     root = Node()
-    stack, at = [root], 0
-    while at < len(text):
+    stack = [root]
+    while at < stop:
         if text[at].isspace():
             at += 1
             continue
-        m = token.match(text, at)
+        m = token.match(text, at, stop)
         if not m:
             raise ParseError(places.spans(at, at)[0][0], f"unexpected {text[at]!r}")
         spans, value = places.spans(m.start(), m.end()), m.group()
@@ -142,10 +154,14 @@ def _parse_lexis(text: str, lexis: Lexis) -> Node:
 
 
 class _Tags(HTMLParser):
+    # Elements without an end tag, and the languages inside others.
     VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+    INSIDE = {"style": "CSS", "script": "JavaScript"}
 
-    def __init__(self, text: str):
+    def __init__(self, text: str, xml: bool = False):
         super().__init__(convert_charrefs=False)
+        if xml:  # no element is special there
+            self.VOID, self.INSIDE, self.CDATA_CONTENT_ELEMENTS, self.RCDATA_CONTENT_ELEMENTS = frozenset(), {}, (), ()
         self.places, self.root = _Places(text), Node()
         self.stack = [self.root]
 
@@ -175,6 +191,16 @@ class _Tags(HTMLParser):
     def handle_data(self, data):
         line, col = self.getpos()
         start = self.places.starts[line - 1] + col
+        inside = self.INSIDE.get(self.cdata_elem or "")
+        if inside and data.strip():
+            try:  # one layer deep; what can't be parsed is words
+                tree = _parse_lexis(self.places, FAMILIES[PROVIDERS[inside]], start, start + len(data))
+            except ParseError:
+                pass
+            else:
+                own = flattened(tree)
+                self.stack[-1].children += [own] if own is not tree else tree.children
+                return
         for m in re.finditer(r"[\w]+|[^\w\s]", data):
             self.stack[-1].children.append(Node(m.group(), spans=self.places.spans(start + m.start(), start + m.end())))
 
@@ -188,8 +214,8 @@ class _Tags(HTMLParser):
         self.stack[-1].children.append(Node(f"<!--{data}-->", "comment", spans=self._at(len(data) + 7)))
 
 
-def _parse_html(text: str) -> Node:
-    parser = _Tags(text)
+def _parse_html(text: str, xml: bool = False) -> Node:
+    parser = _Tags(text, xml)
     parser.feed(text)
     parser.close()
     return parser.root

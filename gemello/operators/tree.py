@@ -40,12 +40,14 @@ def sibling_links(nodes: DataFrame) -> DataFrame:
 
 
 def subtree_counts(nodes: DataFrame) -> DataFrame:
-    """(file, side, id, num_descendants, num_ancestors) from the intervals; the self-join stays inside a file's side."""
+    """(file, side, id, num_descendants, num_ancestors) from the intervals: a running count of those open along the pre-order, no self-join."""
     n = nodes.select("file", "side", "id", "pre", "last")
-    up = n.select("file", "side", F.col("pre").alias("a_pre"), F.col("last").alias("a_last"))
-    j = n.join(up, ["file", "side"]).filter("a_pre < pre AND pre <= a_last")
-    above = j.groupBy("file", "side", "id").agg(F.count(F.lit(1)).alias("num_ancestors"))
-    return n.join(above, ["file", "side", "id"], "left").select("file", "side", "id", (F.col("last") - F.col("pre")).alias("num_descendants"), F.coalesce("num_ancestors", F.lit(0)).cast("long").alias("num_ancestors"))
+    opens = n.withColumns({"_at": F.col("pre"), "_step": F.lit(1)})
+    closes = n.withColumns({"_at": F.col("last") + 1, "_step": F.lit(-1)})
+    w = Window.partitionBy("file", "side").orderBy("_at", "_step").rowsBetween(Window.unboundedPreceding, -1)
+    above = F.coalesce(F.sum("_step").over(w), F.lit(0)).cast("long")
+    run = opens.unionByName(closes).withColumn("num_ancestors", above).filter("_step = 1")
+    return run.select("file", "side", "id", (F.col("last") - F.col("pre")).alias("num_descendants"), "num_ancestors")
 
 
 def hidden(nodes: DataFrame) -> DataFrame:
