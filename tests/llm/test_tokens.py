@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from gemello.llm.tokens import LATIN, WordTokenizer
+from gemello.llm.tokens import LATIN, SpanTokenizer, WordTokenizer
 
 POINTS = [chr(c) for c in range(0x110000) if (k := unicodedata.category(chr(c))) not in ("Cs", "Cn", "Co") or (k != "Cs" and c % 101 == 0)]
 NEAR = [c for c in POINTS if c < "\u3000"]
@@ -42,3 +42,13 @@ def test_letters_that_are_split_here_are_stable():
 
     for c in filter(re.compile(f"[{LATIN}]").match, POINTS):
         assert c.isalpha() and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c
+
+
+def test_spans_from_lengths_are_the_librarys_offsets():
+    spans = SpanTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", " ", "\n\n x", "<|endoftext|>a<|endoftext|>", "a\u0301\u200d\U0001f468\u200d\U0001f469 日本語\t\x00\x07"]
+    texts += ["".join(POINTS[at : at + 500]) for at in range(0, len(POINTS), 500)] + [f"{c} a{c}b 1{c}'s" for c in NEAR]
+    for t in texts:
+        assert np.array_equal(spans(t), spans.by_offsets(t)), ascii(t[:80])
+    spans.sizes[:] = 0  # lengths that don't add up
+    assert np.array_equal(spans("some text"), spans.by_offsets("some text"))
