@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemello.llm import decontaminate, exact_dedup, html_extract, line_crf, packing, simhash, token_binary, token_counts, url_graph, warc
+from gemello.llm import decontaminate, exact_dedup, html_extract, license_scan, line_crf, packing, simhash, token_binary, token_counts, url_graph, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -109,3 +109,56 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op2_benchmark_decontamination"] = op2_benchmark_decontamination
 QUERIES["op3_token_counts"] = op3_token_counts
 QUERIES["op5_url_filter"] = op5_url_filter
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES["op13_license_scan"] = op13_license_scan
+ORACLES["op13_license_scan"] = """
+WITH t(template, label, base, text) AS (VALUES %s),
+tw AS (SELECT template, label, base, regexp_extract_all(lower(text), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM t),
+tk AS (SELECT *, CASE WHEN len(words) >= 4 THEN 4 ELSE 2 END AS k FROM tw),
+tg AS (SELECT template, k, p AS tpos, array_to_string(list_slice(words, p + 1, p + k), ' ') AS gram FROM (SELECT *, unnest(range(len(words) - k + 1)) AS p FROM tk)),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words
+  FROM documents
+),
+place AS (SELECT row, unnest(range(len(words))) AS pos, unnest(words) AS w FROM d),
+seq AS (SELECT row, pos, w, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM place WINDOW o AS (PARTITION BY row ORDER BY pos)),
+g AS (
+  SELECT row, pos, 2 AS k, w || ' ' || w2 AS gram FROM seq WHERE w2 IS NOT NULL UNION ALL
+  SELECT row, pos, 4, w || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM seq WHERE w4 IS NOT NULL
+),
+hits AS (SELECT row, template, k, tpos, pos, pos - tpos AS diagonal FROM g JOIN tg USING (k, gram)),
+step AS (SELECT *, tpos - lag(tpos) OVER (PARTITION BY row, template, diagonal ORDER BY tpos) AS step FROM hits),
+votes AS (SELECT row, template, k, diagonal, min(pos) AS first, max(pos) AS last, sum(least(k, coalesce(step, k))) AS covered FROM step GROUP BY ALL),
+gaps AS (
+  SELECT v.*, len(words) AS words, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) > least(4, len(words) // 3) THEN 1 ELSE 0 END AS far
+  FROM votes v JOIN tk USING (template)
+),
+runs AS (SELECT *, sum(far) OVER (PARTITION BY row, template ORDER BY diagonal) AS run FROM gaps),
+merged AS (
+  SELECT row, template, k, words, run, min(first) AS first, max(last) + k AS last, max(covered) AS one, count(*) FILTER (covered = words) AS exact,
+    min(diagonal) FILTER (covered = words) AS low, max(diagonal) FILTER (covered = words) AS high
+  FROM runs GROUP BY row, template, k, words, run
+),
+places AS (SELECT DISTINCT row, template, run, tpos FROM hits JOIN runs USING (row, template, diagonal)),
+steps AS (SELECT *, tpos - lag(tpos) OVER (PARTITION BY row, template, run ORDER BY tpos) AS step FROM places),
+whole AS (SELECT row, template, run, sum(least(k, coalesce(step, k))) AS covered FROM steps JOIN tk USING (template) GROUP BY row, template, run),
+spans AS (
+  SELECT m.*, greatest(one, CASE WHEN last - first <= 2 * words THEN covered ELSE one END) AS most FROM merged m JOIN whole USING (row, template, run)
+),
+good AS (SELECT * FROM spans JOIN t USING (template) WHERE CASE WHEN base THEN exact > 0 ELSE (words - most) * 10 <= words END),
+found AS (
+  SELECT row, sum(exact) FILTER (base) AS n_base, min(low) FILTER (base) AS first_word, max(high) FILTER (base) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (base)), ',') AS base_labels, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels,
+    max(CASE WHEN base THEN 1.0::DOUBLE ELSE most::DOUBLE / words END) AS score
+  FROM good GROUP BY row
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+  coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM d LEFT JOIN found USING (row)
+""" % ", ".join(f"({i}, '{t.label}', {t.base}, '{t.text}')" for i, t in enumerate([*license_scan.BASE, *license_scan.NOTICES]))
