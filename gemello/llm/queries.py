@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemello.llm import decontaminate, exact_dedup, html_extract, license_scan, line_crf, packing, simhash, token_binary, token_counts, url_graph, warc
+from gemello.llm import decontaminate, exact_dedup, html_extract, license_scan, line_crf, maxscore, packing, simhash, token_binary, token_counts, url_graph, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -162,3 +162,33 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_b
   coalesce(labels, '') AS labels, coalesce(score, 0) AS score
 FROM d LEFT JOIN found USING (row)
 """ % ", ".join(f"({i}, '{t.label}', {t.base}, '{t.text}')" for i, t in enumerate([*license_scan.BASE, *license_scan.NOTICES]))
+
+
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = maxscore.build(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return maxscore.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES["op11_lexical_search"] = op11_lexical_search
+ORACLES["op11_lexical_search"] = """
+WITH d AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM documents
+),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+s AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+m AS (SELECT doc_id, 100 - 75 + (75 * n * docs) // l AS m FROM n, s),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term, docs),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark
+),
+q AS (SELECT item_id, term, count(*) AS r FROM i GROUP BY ALL),
+scored AS (
+  SELECT item_id, doc_id, sum(r * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id
+),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 10
+"""
