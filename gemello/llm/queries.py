@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gemello.llm import decontaminate, exact_dedup, html_extract, license_scan, line_crf, maxscore, packing, simhash, token_binary, token_counts, url_graph, warc
+from gemello.llm import collocations, decontaminate, exact_dedup, html_extract, license_scan, line_crf, maxscore, packing, simhash, token_binary, token_counts, url_graph, warc
 
 QUERIES = {}
 ORACLES = {}
@@ -192,3 +192,37 @@ scored AS (
 ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored WHERE score > 0)
 SELECT * FROM ranked WHERE rank <= 10
 """
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES["op12_collocations"] = op12_collocations
+ORACLES["op12_collocations"] = """
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM p),
+sizes AS (SELECT lang, w, k FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k),
+g AS (SELECT lang, k, w, unnest(range(len(w) - k + 1)) AS pos FROM sizes),
+f AS (SELECT lang, k AS words, array_to_string(list_slice(w, pos + 1, pos + k), ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE words = 1 GROUP BY lang),
+c AS (SELECT lang, words, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE words > 1 AND f >= 30),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(list_slice(w, 1, k), ' ') AS head, array_to_string(list_slice(w, k + 1, words), ' ') AS tail
+  FROM (SELECT *, unnest(range(1, words)) AS k FROM c)
+),
+s AS (
+  SELECT cuts.*, h.f AS l, t.f AS r, ((2000000::HUGEINT * a) // (h.f + t.f))::BIGINT AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+),
+least AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+parts AS (SELECT lang, a, w, words, unnest(range(2, words)) AS m FROM c),
+places AS (SELECT *, unnest(range(words - m + 1)) AS pos FROM parts),
+covering AS (SELECT lang, array_to_string(list_slice(w, pos + 1, pos + m), ' ') AS phrase, max(a) AS most FROM places GROUP BY ALL),
+kept AS (SELECT least.* FROM least LEFT JOIN covering USING (lang, phrase) WHERE most IS NULL OR 100 * most::HUGEINT < 80 * a::HUGEINT)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN n USING (lang) QUALIFY rank <= 2000
+"""
