@@ -62,8 +62,13 @@ def whole(token: Column, pattern: str) -> Column:
     return token.rlike(rf"\A(?:{pattern})\z")
 
 
+def breaks(token: Column) -> Column:
+    """How many line feeds a token has."""
+    return F.length(token) - F.length(F.replace(token, F.lit("\n"), F.lit("")))
+
+
 def tokens(texts: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
-    """(keys, seq, token, start, end, type, name) of texts (keys, text): tokens from 0 in order, with their places in characters.
+    """(keys, seq, token, start, end, line, type, name) of texts (keys, text): tokens from 0 in order, with their places in characters and first lines.
 
     type is open, close, comment, string, keyword, skip or other; name is that of an opening or closing token, or the token itself. A null text has none.
     """
@@ -82,8 +87,8 @@ def tokens(texts: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
     kind = kind.when(whole(t, grammar.string), "string")
     if grammar.keywords:
         kind = kind.when(F.lower(t).isin(*grammar.keywords), "keyword")
-    end = F.sum(F.length("token")).over(order)
-    return found.withColumn("end", end).select(*keys, "seq", "token", (F.col("end") - F.length("token")).alias("start"), "end", kind.otherwise("other").alias("type"), F.coalesce(name, t).alias("name"))
+    found = found.withColumns({"end": F.sum(F.length("token")).over(order), "line": F.sum(breaks(t)).over(order) - breaks(t)})
+    return found.select(*keys, "seq", "token", (F.col("end") - F.length("token")).alias("start"), "end", "line", kind.otherwise("other").alias("type"), F.coalesce(name, t).alias("name"))
 
 
 def paired(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -113,7 +118,8 @@ def paired(found: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def tree(texts: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
-    """The node table of texts (keys, text): (keys, id, parent_id, ord, pre, last, level, is_list, name, open, close, content, kind, start, end).
+    """The node table of texts (keys, text): (keys, id, parent_id, ord, pre, last, level, is_list, name, open, close, content, kind, start, end,
+    line, end_line).
 
     A pair of tokens is a list, any other token but white space an atom. id and pre number nodes from 0 in pre-order, last is the greatest of a
     node's subtree, ord its place among its siblings. kind is list, comment, string, keyword, other, can_ignore (a comma or the like that ends
@@ -128,13 +134,14 @@ def tree(texts: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
     out = out.withColumns({"_upto": F.sum("_node").over(every), "level": F.sum("_step").over(every) - F.when(F.col("_step") == 1, 1).otherwise(0)})
     # a list's closing token follows its opening one on their level, apart from atoms
     pairs = Window.partitionBy(*keys, "level", F.col("_step") != 0).orderBy("seq")
-    at_close = F.lead(F.struct(F.col("_upto"), F.col("token"), F.col("end"))).over(pairs)
+    at_close = F.lead(F.struct("_upto", "token", "end", (F.col("line") + breaks(F.col("token"))).alias("end_line"))).over(pairs)
     out = out.withColumn("_close", F.when(F.col("_step") == 1, at_close)).filter("_node = 1")
     is_list = F.col("_close").isNotNull()
     kind = F.when(is_list, "list").when(F.col("type") == "close", "error").otherwise(F.col("type"))
     nodes = out.select(
         *keys, (F.col("_upto") - 1).alias("id"), "level", is_list.alias("is_list"), "name", F.when(is_list, F.col("token")).alias("open"), F.col("_close.token").alias("close"),
         F.when(~is_list, F.col("token")).alias("content"), kind.alias("kind"), "start", F.coalesce("_close.end", "end").alias("end"), F.col("id").alias("pre"), F.coalesce(F.col("_close._upto") - 1, F.col("id")).alias("last"),
+        "line", F.coalesce("_close.end_line", F.col("line") + breaks(F.col("token"))).alias("end_line"),
     )
     nodes = with_parent(nodes, keys, F.col("id"), "parent_id")
     among = Window.partitionBy(*keys, "parent_id").orderBy("pre")
@@ -142,7 +149,30 @@ def tree(texts: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
     if grammar.trailing:
         end = F.col("parent_id").isNotNull() & F.col("content").isin(*grammar.trailing) & F.lead("id").over(among).isNull() & (F.col("ord") > 0)
         nodes = nodes.withColumn("kind", F.when(F.coalesce(end, F.lit(False)), "can_ignore").otherwise(F.col("kind")))
-    return nodes.select(*keys, "id", "parent_id", "ord", "pre", "last", "level", "is_list", "name", "open", "close", "content", "kind", "start", "end")
+    return nodes.select(*keys, "id", "parent_id", "ord", "pre", "last", "level", "is_list", "name", "open", "close", "content", "kind", "start", "end", "line", "end_line")
+
+
+def with_content_id(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """nodes with content_id, equal for subtrees of equal tokens: a digest of them in order, without white space and nodes of kind can_ignore.
+
+    A file's tokens become one text, of which each subtree is a slice between running lengths.
+    """
+    core = F.col("kind") != "can_ignore"
+    piece = lambda c: F.when(core & F.col(c).isNotNull(), F.concat(F.col(c), F.lit("\x1f"))).otherwise("")
+    first = F.coalesce("open", "content")
+    rows = _rows(
+        nodes.select(*keys, "id", "pre", "last", "level", "kind", first.alias("first"), "close"),
+        F.struct(F.col("pre").alias("_at"), F.lit(0).alias("_role"), F.lit(0).cast("long").alias("_up"), piece("first").alias("_piece")),
+        F.when(F.col("close").isNotNull(), F.struct(F.col("last").alias("_at"), F.lit(1).alias("_role"), (-F.col("level")).alias("_up"), piece("close").alias("_piece"))),
+    )
+    order = Window.partitionBy(*keys).orderBy("_at", "_role", "_up")
+    rows = rows.withColumn("_upto", F.sum(F.length("_piece")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = Window.partitionBy(*keys, "id").orderBy("_role")
+    spans = rows.withColumn("_stop", F.coalesce(F.lead("_upto").over(ends), F.col("_upto"))).filter("_role = 0").select(*keys, "id", (F.col("_upto") - F.length("_piece")).alias("_from"), "_stop")
+    whole_text = rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_role", "_up", "_piece"))), lambda r: r["_piece"]), "").alias("_text"))
+    text = F.substring("_text", (F.col("_from") + 1).cast("int"), (F.col("_stop") - F.col("_from")).cast("int"))
+    digests = spans.join(whole_text, keys).select(*keys, "id", F.sha2(text, 256).alias("content_id"))
+    return nodes.join(digests, [*keys, "id"])
 
 
 def _rows(nodes: DataFrame, *rows: Column) -> DataFrame:

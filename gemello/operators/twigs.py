@@ -81,3 +81,12 @@ def matches(nodes: DataFrame, keys: list[str], twig: Twig) -> DataFrame:
 
 def _captures(twig: Twig) -> bool:
     return bool(twig.capture) or any(map(_captures, twig.below))
+
+
+def tagged(nodes: DataFrame, keys: list[str], tags: dict[str, Twig]) -> DataFrame:
+    """(keys, id, tags): the sorted names of the twigs whose root matches at a node, over nodes that have any."""
+    out = None
+    for tag, twig in tags.items():
+        found = matches(nodes, keys, twig).filter("root = id").select(*keys, "id", F.lit(tag).alias("tag"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy(*keys, "id").agg(F.array_sort(F.collect_set("tag")).alias("tags"))

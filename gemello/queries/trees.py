@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gemello.operators import parse
+from gemello.operators import assembly, parse, propagate, regions, siblings
 from gemello.operators.parse import GRAMMARS, Grammar
-from gemello.operators.twigs import Twig, matches
+from gemello.operators.tree import hidden, partners
+from gemello.operators.twigs import Twig, matches, tagged
 from gemello.queries.carriers import table
 from gemello.registry import query
+from gemello.session import written
 
 #: SQL of the texts that are parsed: file and text.
 PAGES = "texts AS (SELECT page_id AS file, html AS text FROM pages)"
@@ -51,6 +53,7 @@ def tokens_sql(g: Grammar) -> str:
     each AS (SELECT file, i - 1 AS seq, t[i] AS token FROM cut, unnest(generate_series(1, len(t))) AS u(i)),
     tokens AS (
       SELECT file, seq, token, sum(length(token)) OVER w - length(token) AS start, sum(length(token)) OVER w AS stop, {name} AS name,
+        sum(length(token) - length(replace(token, chr(10), ''))) OVER w AS stop_line, sum(length(token) - length(replace(token, chr(10), ''))) OVER w - length(token) + length(replace(token, chr(10), '')) AS line,
         CASE WHEN {full(g.skip)} THEN 'skip' {raw} WHEN {full(g.comment)} THEN 'comment' WHEN {full(g.open)} THEN 'open' WHEN {full(g.close)} THEN 'close' WHEN {full(g.string)} THEN 'string' {words} ELSE 'other' END AS type
       FROM each WINDOW w AS (PARTITION BY file ORDER BY seq)
     )"""
@@ -75,12 +78,12 @@ def tree_sql(g: Grammar) -> str:
     plain AS (
       SELECT k.file, k.id, parent_id, row_number() OVER (PARTITION BY k.file, parent_id ORDER BY k.id) - 1 AS ord, last, level, k.b IS NOT NULL AS is_list, k.name,
         CASE WHEN k.b IS NOT NULL THEN k.token END AS open, e.token AS close, CASE WHEN k.b IS NULL THEN k.token END AS content,
-        CASE WHEN k.b IS NOT NULL THEN 'list' WHEN k.type = 'close' THEN 'error' ELSE k.type END AS kind, k.start, coalesce(e.stop, k.stop) AS stop
+        CASE WHEN k.b IS NOT NULL THEN 'list' WHEN k.type = 'close' THEN 'error' ELSE k.type END AS kind, k.start, coalesce(e.stop, k.stop) AS stop, k.line, coalesce(e.stop_line, k.stop_line) AS end_line
       FROM kept k JOIN around USING (file, id) JOIN within USING (file, id) LEFT JOIN tokens e ON e.file = k.file AND e.seq = k.b
     ),
     tree AS (
       SELECT file, id, parent_id, ord, id AS pre, last, level, is_list, name, open, close, content,
-        CASE WHEN {trailing} parent_id IS NOT NULL AND ord > 0 AND lead(id) OVER (PARTITION BY file, parent_id ORDER BY id) IS NULL THEN 'can_ignore' ELSE kind END AS kind, start, stop
+        CASE WHEN {trailing} parent_id IS NOT NULL AND ord > 0 AND lead(id) OVER (PARTITION BY file, parent_id ORDER BY id) IS NULL THEN 'can_ignore' ELSE kind END AS kind, start, stop, line, end_line
       FROM plain
     )"""
     )
@@ -94,7 +97,7 @@ def event_tree(spark: SparkSession, d: str) -> DataFrame:
     return parse.tree(events(spark, d), GRAMMARS["json"], ["file"])
 
 
-@query("t1_page_tokens", f'WITH {PAGES}, {tokens_sql(GRAMMARS["html"])} SELECT file, seq, token, start, stop AS "end", type, name FROM tokens')
+@query("t1_page_tokens", f'WITH {PAGES}, {tokens_sql(GRAMMARS["html"])} SELECT file, seq, token, start, stop AS "end", line, type, name FROM tokens')
 def t1_pages(spark, d):
     return parse.tokens(pages(spark, d), GRAMMARS["html"], ["file"])
 
@@ -164,3 +167,216 @@ def _twig_query(name: str, of: str, twig: Twig, sql: str) -> None:
 
 for _name, _of in TWIGS.items():
     _twig_query(_name, *_of)
+
+
+#: SQL of two sides of each conversation as JSON, file = 2 * conv_id + (1 on the right): turns left out, roles changed, last commas left out on the right.
+TALKS = """talk AS (
+  SELECT 2 * conv_id + s AS file, turn, chr(10) || ' {' || chr(10) || '  "turn": ' || turn || ',' || chr(10) || '  "role": "' || CASE WHEN s = 1 AND conv_id % 3 = 0 AND turn = 0 THEN 'person' ELSE role END || '",' || chr(10) || '  "lines": ['
+    || array_to_string(list_transform(string_split(replace(replace(coalesce(text, ''), chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(10)), lambda l: chr(10) || '   "' || l || '"'), ',')
+    || CASE WHEN s = 1 AND conv_id % 2 = 0 THEN '' ELSE ',' END || chr(10) || '  ]' || chr(10) || ' }' AS record
+  FROM conversations, (SELECT unnest([0, 1]) AS s) WHERE NOT (s = 1 AND (conv_id + turn) % 4 = 1)
+), texts AS (SELECT file, '[' || string_agg(record, ',' ORDER BY turn) || chr(10) || ']' AS text FROM talk GROUP BY file)"""
+
+
+def talks(spark: SparkSession, d: str) -> DataFrame:
+    """(file, side, text): two sides of each conversation as JSON, an object of several lines for each turn; on the right turns are left out, roles
+    changed and the last commas of lists left out."""
+    c = table(spark, d, "conversations").withColumn("side", F.explode(F.array(F.lit("lhs"), F.lit("rhs"))))
+    right, conv, turn = F.col("side") == "rhs", F.col("conv_id"), F.col("turn")
+    c = c.filter(~(right & ((conv + turn) % 4 == 1)))
+    role = F.when(right & (conv % 3 == 0) & (turn == 0), "person").otherwise(F.col("role"))
+    escaped = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    rows = F.array_join(F.transform(F.split(escaped, "\n"), lambda x: F.concat(F.lit('\n   "'), x, F.lit('"'))), ",")
+    comma = F.when(right & (conv % 2 == 0), "").otherwise(",")
+    record = F.concat(F.lit('\n {\n  "turn": '), turn.cast("string"), F.lit(',\n  "role": "'), role, F.lit('",\n  "lines": ['), rows, comma, F.lit("\n  ]\n }"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", record.alias("record")))), lambda r: r["record"])
+    return c.groupBy(conv.alias("file"), "side").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("\n]")).alias("text"))
+
+
+def talk_tree(spark: SparkSession, d: str) -> DataFrame:
+    return parse.tree(talks(spark, d), GRAMMARS["json"], ["file", "side"])
+
+
+def talk_changes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, changes) of the two sides of the conversations."""
+    nodes = written(parse.with_content_id(written(talk_tree(spark, d), "tree"), ["file", "side"]), "nodes")
+    return nodes, propagate.deep_changes(nodes, propagate.equal_subtrees(nodes))
+
+
+#: SQL of the same changes, by comparing subtrees as texts and placing each node among those of its subtree; to be put after TALKS.
+CHANGES = (
+    tree_sql(GRAMMARS["json"])
+    + """,
+    piece AS (SELECT file, id AS owner, id AS pos, 0 AS role, 0 AS up, coalesce(open, content) AS piece FROM tree WHERE kind <> 'can_ignore' UNION ALL SELECT file, id, last, 1, -level, close FROM tree WHERE close IS NOT NULL),
+    content AS (SELECT n.file, n.id, n.last, string_agg(piece, chr(31) ORDER BY pos, role, up) AS content FROM tree n JOIN piece p ON p.file = n.file AND p.owner BETWEEN n.id AND n.last WHERE n.kind <> 'can_ignore' GROUP BY ALL),
+    once AS (SELECT c.*, file // 2 AS conv, file % 2 AS s FROM content c WHERE (SELECT count(*) FROM content x WHERE x.file = c.file AND x.content = c.content) = 1),
+    same AS (SELECT l.conv, l.id AS a, l.last AS a_last, r.id AS b, r.last AS b_last FROM once l JOIN once r ON r.conv = l.conv AND r.content = l.content AND l.s = 0 AND r.s = 1),
+    anchors AS (SELECT * FROM same x WHERE NOT EXISTS (SELECT 1 FROM same y WHERE y.conv = x.conv AND y.a < x.a AND y.a_last >= x.a)),
+    parts AS (
+      SELECT conv, a AS anchor, 'lhs' AS side, id, kind, level - min(level) OVER w AS deep, sum(CASE WHEN kind = 'can_ignore' THEN 0 ELSE 1 END) OVER (PARTITION BY conv, a ORDER BY id) AS core
+        FROM anchors JOIN tree ON file = 2 * conv AND id BETWEEN a AND a_last WINDOW w AS (PARTITION BY conv, a) UNION ALL
+      SELECT conv, a, 'rhs', id, kind, level - min(level) OVER w, sum(CASE WHEN kind = 'can_ignore' THEN 0 ELSE 1 END) OVER (PARTITION BY conv, a ORDER BY id)
+        FROM anchors JOIN tree ON file = 2 * conv + 1 AND id BETWEEN b AND b_last WINDOW w AS (PARTITION BY conv, a)
+    ),
+    below AS (
+      SELECT p.conv AS file, p.side, p.id, CASE WHEN q.id IS NOT NULL THEN 'unchanged' ELSE 'ignored_punctuation' END AS kind, q.id AS opposite_id
+      FROM parts p LEFT JOIN parts q ON q.conv = p.conv AND q.anchor = p.anchor AND q.side <> p.side AND q.core = p.core AND q.deep = p.deep AND (q.kind = 'can_ignore') = (p.kind = 'can_ignore')
+    ),
+    nodes AS (SELECT file // 2 AS file, CASE file % 2 WHEN 0 THEN 'lhs' ELSE 'rhs' END AS side, * EXCLUDE (file) FROM tree),
+    changes AS (SELECT n.file, n.side, n.id, coalesce(b.kind, 'novel') AS kind, opposite_id FROM nodes n LEFT JOIN below b USING (file, side, id))"""
+)
+
+
+@query("m11_deep_changes", f"WITH {TALKS}, {CHANGES} SELECT * FROM changes")
+def m11(spark, d):
+    return talk_changes(spark, d)[1]
+
+
+@query("m12_tree_partners", f"WITH {TALKS}, {CHANGES} SELECT file, id AS lhs_id, opposite_id AS rhs_id FROM changes WHERE side = 'lhs' AND opposite_id IS NOT NULL")
+def m12(spark, d):
+    return partners(talk_changes(spark, d)[1])
+
+
+#: The tags of folds: what a record with a role is taken for. Records of the first turn stand for integration tests.
+TAGS = {
+    "function": Twig("{", (Twig(kind="string", pattern='^"user"$'),), capture="fold"),
+    "test": Twig("{", (Twig(kind="string", pattern='^"assistant"$'),), capture="fold"),
+    "integration": Twig("{", (Twig(pattern="^1$"),), capture="fold"),
+}
+
+FOLDS = f"""{CHANGES},
+    folds AS (
+      SELECT n.*, n.line::BIGINT AS l0, n.end_line::BIGINT + 1 AS l1, NOT EXISTS (SELECT 1 FROM nodes x JOIN changes c USING (file, side, id) WHERE x.file = n.file AND x.side = n.side AND x.id BETWEEN n.id AND n.last AND c.opposite_id IS NOT NULL) AS one_sided,
+        n.name = '{{' AND EXISTS (SELECT 1 FROM nodes x WHERE x.file = n.file AND x.side = n.side AND x.parent_id = n.id AND x.content = '"user"') AS function,
+        n.name = '{{' AND EXISTS (SELECT 1 FROM nodes x WHERE x.file = n.file AND x.side = n.side AND x.parent_id = n.id AND x.content = '"assistant"') AS test,
+        n.name = '{{' AND EXISTS (SELECT 1 FROM nodes x WHERE x.file = n.file AND x.side = n.side AND x.parent_id = n.id AND x.content = '1') AS integration
+      FROM nodes n WHERE n.is_list
+    )"""
+
+
+def talk_folds(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, folds): all nodes with one_sided and their change, and the lists among them with their lines and tags."""
+    nodes, changes = talk_changes(spark, d)
+    paired = changes.select("file", "side", "id", F.col("kind").alias("change"), F.col("opposite_id").isNotNull().alias("paired"))
+    all_ = regions.one_sided(nodes.join(paired, ["file", "side", "id"])).withColumns({"first": F.col("line"), "stop": F.col("end_line") + 1}).drop("upto", "upto_last")
+    tags = tagged(nodes, ["file", "side"], TAGS)
+    lists = all_.filter("is_list").drop("start", "end").withColumnsRenamed({"first": "start", "stop": "end"}).join(tags, ["file", "side", "id"], "left")
+    return all_, lists.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+
+
+@query("p3_deleted_records", f"WITH {TALKS}, {FOLDS} SELECT file, id, l1 - l0 || ' lines removed' AS label FROM folds WHERE side = 'lhs' AND function AND one_sided AND l1 - l0 >= 7")
+def p3(spark, d):
+    return regions.deleted_bodies(talk_folds(spark, d)[1], 7).select("file", "id", "label")
+
+
+@query("p5_test_records", f"WITH {TALKS}, {FOLDS} SELECT file, side, id FROM folds WHERE test AND NOT integration AND l1 - l0 >= 3 AND file % 4 <> 0")
+def p5(spark, d):
+    folds = talk_folds(spark, d)[1].withColumn("file_tags", F.when(F.col("file") % 4 == 0, F.array(F.lit("e2e"))).otherwise(F.array().cast("array<string>")))
+    return regions.test_bodies(folds, 3).select("file", "side", "id")
+
+
+@query(
+    "p4_removed_lines",
+    f"""WITH {TALKS}, {FOLDS}, leaves AS (SELECT a.file, a.parent_id AS id, min(a.line) AS first, max(a.end_line) + 1 AS stop FROM nodes a JOIN folds f ON f.file = a.file AND f.side = a.side AND f.id = a.parent_id AND f.one_sided
+      JOIN folds h ON h.file = a.file AND h.side = a.side AND h.id = f.parent_id AND h.one_sided WHERE a.side = 'lhs' AND f.name = '[' GROUP BY 1, 2)
+    SELECT file, id, first + 1 AS "start", stop - 1 AS "end", CAST(stop - first - 2 AS BIGINT) || ' lines removed' AS label FROM leaves WHERE stop - first >= 5""",
+)
+def p4(spark, d):
+    nodes, _ = talk_folds(spark, d)
+    held = parse.with_parent(nodes, ["file", "side"], F.struct("one_sided", "name"), "list")
+    held = parse.with_parent(held, ["file", "side"], F.col("list.one_sided"), "holder_one_sided")
+    atoms = held.filter("list.name = '['").groupBy("file", "side", F.col("parent_id").alias("id")).agg(F.min("first").alias("start"), F.max("stop").alias("end"), F.bool_and("list.one_sided").alias("one_sided"), F.bool_and("holder_one_sided").alias("holder_one_sided"))
+    return regions.removed_runs(atoms, 5).select("file", "id", "start", "end", "label")
+
+
+@query(
+    "a3_tree_coverage",
+    f"""WITH {TALKS}, {FOLDS}, shut AS (SELECT * FROM folds WHERE side = 'lhs' AND function AND one_sided AND l1 - l0 >= 7),
+    l AS (SELECT n.file, n.side, unnest(range(n.line::BIGINT, n.end_line::BIGINT + 1)) AS line, EXISTS (SELECT 1 FROM shut s WHERE s.file = n.file AND s.side = n.side AND n.id BETWEEN s.id AND s.last) AS hidden
+      FROM nodes n JOIN changes c USING (file, side, id) WHERE NOT n.is_list AND c.kind = 'novel')
+    SELECT file, side, count(DISTINCT line) AS total, count(DISTINCT line) FILTER (NOT hidden) AS visible FROM l GROUP BY 1, 2""",
+)
+def a3(spark, d):
+    nodes, folds = talk_folds(spark, d)
+    shut = regions.deleted_bodies(folds, 7).select("file", "side", "id", F.lit(True).alias("collapsed"))
+    seen = hidden(nodes.join(shut, ["file", "side", "id"], "left").withColumn("collapsed", F.coalesce("collapsed", F.lit(False))))
+    leaves = seen.filter("NOT is_list").select("file", "side", "hidden", F.col("first").alias("start"), F.col("stop").alias("end"), (F.col("change") != "novel").alias("paired"), F.array().cast("array<struct<line:bigint>>").alias("changed"))
+    return regions.coverage(leaves, ["file", "side"])
+
+
+@query(
+    "m20_matching_siblings",
+    f"""WITH {PAGES.replace("texts AS", "original AS")}, texts AS (SELECT 2 * file AS file, text FROM original UNION ALL SELECT 2 * file + 1, replace(replace(text, '<br>', ''), '</ul>', '<li>More</li></ul>') FROM original), {tree_sql(GRAMMARS["html"])},
+    kids AS (SELECT file, parent_id, coalesce(parent_id, -1) AS parent_pre, list(coalesce(open, content) ORDER BY id) AS keys, list(id ORDER BY id) AS ids FROM tree GROUP BY ALL),
+    asked AS (SELECT file, keys, ids, 0 AS pos, len(ids) AS n FROM kids WHERE parent_id IS NOT NULL UNION SELECT file, keys, ids, pos, 2 FROM (SELECT *, unnest(range(len(ids) - 1)) AS pos FROM kids)),
+    run AS (SELECT file, ids[pos + 1] AS id, n, list_slice(keys, pos + 1, pos + n) AS keys FROM asked),
+    windows AS (SELECT DISTINCT r.file, r.id, r.n, k.parent_pre, w, k.ids, r.keys = list_slice(k.keys, w + 1, w + r.n) AS same
+      FROM run r JOIN (SELECT *, unnest(range(len(ids))) AS w FROM kids) k ON k.file = CASE r.file % 2 WHEN 0 THEN r.file + 1 ELSE r.file - 1 END AND k.keys[w + 1] = r.keys[1] AND w + r.n <= len(k.ids)),
+    best AS (SELECT file, id, n, arg_min(list_slice(ids, w + 1, w + n), parent_pre * 1000000 + w) AS ids FROM windows WHERE same GROUP BY ALL),
+    met AS (SELECT DISTINCT r.file, r.id, r.n FROM (SELECT file, id, n, unnest(keys) AS key FROM run) r JOIN tree t ON t.file = CASE r.file % 2 WHEN 0 THEN r.file + 1 ELSE r.file - 1 END AND coalesce(t.open, t.content) = r.key)
+    SELECT r.file // 2 AS file, CASE r.file % 2 WHEN 0 THEN 'lhs' ELSE 'rhs' END AS side, r.id, r.n, CASE WHEN b.ids IS NOT NULL THEN array_to_string(b.ids, ' ') WHEN m.file IS NULL THEN '' END AS ids
+    FROM (SELECT DISTINCT file, id, n FROM run) r LEFT JOIN best b USING (file, id, n) LEFT JOIN met m USING (file, id, n)""",
+)
+def m20(spark, d):
+    """All children of each list, and each two siblings, looked for on the other side of the pages."""
+    own = pages(spark, d)
+    edited = F.replace(F.replace("text", F.lit("<br>"), F.lit("")), F.lit("</ul>"), F.lit("<li>More</li></ul>"))
+    sides = own.select("file", F.explode(F.array(F.struct(F.lit("lhs").alias("side"), "text"), F.struct(F.lit("rhs").alias("side"), edited.alias("text")))).alias("t")).select("file", "t.*")
+    nodes = parse.tree(sides, GRAMMARS["html"], ["file", "side"]).withColumn("key", F.coalesce("open", "content"))
+    nodes = written(nodes.select("file", "side", "parent_id", "ord", "id", "pre", "key"), "siblings")
+    whole = nodes.filter("parent_id IS NOT NULL").groupBy("file", "side", "parent_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).drop("parent_id")
+    w = Window.partitionBy("file", "side", "parent_id").orderBy("ord")
+    two = nodes.withColumn("next", F.lead("id").over(w)).filter("next IS NOT NULL").select("file", "side", "id", F.lit(2).cast("long").alias("n"))
+    found = siblings.matching_siblings(nodes, whole.select("file", "side", "id", "n").unionByName(two))
+    return found.select("file", "side", "id", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
+#: SQL of what imports what: customers their nation, nations their region; each market segment begins with its customers.
+IMPORTS = """
+roots AS (SELECT c_mktsegment AS language, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS ord, 'customer/' || c_custkey AS source FROM customer),
+imports AS (SELECT 'customer/' || c_custkey AS source, 1 AS ord, 'nation/' || c_nationkey AS target FROM customer UNION ALL SELECT 'nation/' || n_nationkey, 1, 'region/' || n_regionkey FROM nation)"""
+
+
+def imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    name = lambda kind, key: F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"))
+    # the order of customers within a segment is that of their keys; places need not be dense
+    roots = c.select(F.col("c_mktsegment").alias("language"), F.col("c_custkey").alias("ord"), name("customer", "c_custkey").alias("source"))
+    of = c.select(name("customer", "c_custkey").alias("source"), F.lit(1).alias("ord"), name("nation", "c_nationkey").alias("target"))
+    return roots, of.unionByName(n.select(name("nation", "n_nationkey").alias("source"), F.lit(1).alias("ord"), name("region", "n_regionkey").alias("target")))
+
+
+@query(
+    "p10_assembly",
+    f"""WITH RECURSIVE {IMPORTS}, way(language, path, source) AS (
+      SELECT language, [ord], source FROM roots UNION ALL SELECT w.language, list_append(w.path, i.ord), i.target FROM way w JOIN imports i ON i.source = w.source
+    ), first AS (SELECT language, source, min(path) AS path FROM way GROUP BY ALL)
+    SELECT language, row_number() OVER (PARTITION BY language ORDER BY list_append(path, 2147483647)) AS place, source FROM first""",
+)
+def p10(spark, d):
+    return assembly.assembled(assembly.import_tree(*imports(spark, d)))
+
+
+#: SQL of which event follows which for a user: what follows is imported, in alphabetical order.
+FOLLOWS = """
+steps AS (SELECT user_id, event_type AS source, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS target FROM events),
+many AS (SELECT user_id % 7 AS grp, source, target, count(*) AS n FROM steps WHERE target IS NOT NULL AND target <> source GROUP BY ALL),
+imports AS (SELECT grp || '/' || source AS source, row_number() OVER (PARTITION BY grp, source ORDER BY target) AS ord, grp || '/' || target AS target FROM many WHERE n % 2 = 1),
+roots AS (SELECT CAST(grp AS VARCHAR) AS language, 1 AS ord, grp || '/click' AS source FROM (SELECT DISTINCT user_id % 7 AS grp FROM events))"""
+
+
+@query(
+    "p10_cycles",
+    f"""WITH RECURSIVE {FOLLOWS}, way(language, sources, cyclic) AS (
+      SELECT language, [source], FALSE FROM roots UNION ALL SELECT w.language, list_append(w.sources, i.target), list_contains(w.sources, i.target) FROM way w JOIN imports i ON i.source = w.sources[-1] WHERE NOT w.cyclic
+    ) SELECT DISTINCT language, array_to_string(list_slice(sources, list_position(sources, sources[-1]), len(sources)), ' -> ') AS cycle FROM way WHERE cyclic""",
+)
+def p10_cycles(spark, d):
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, d, "events").select((F.col("user_id") % 7).cast("string").alias("grp"), F.col("event_type").alias("source"), F.lead("event_type").over(w).alias("target"))
+    many = e.filter("target <> source").groupBy("grp", "source", "target").agg(F.count(F.lit(1)).alias("n")).filter("n % 2 = 1")
+    name = lambda c: F.concat_ws("/", "grp", c)
+    follows = many.select(name("source").alias("source"), F.row_number().over(Window.partitionBy("grp", "source").orderBy("target")).alias("ord"), name("target").alias("target"))
+    roots = e.select("grp").distinct().select(F.col("grp").alias("language"), F.lit(1).alias("ord"), F.concat("grp", F.lit("/click")).alias("source"))
+    found = assembly.cycles(assembly.import_tree(roots, written(follows, "imports")))
+    return found.select("language", F.array_join("cycle", " -> ").alias("cycle"))
