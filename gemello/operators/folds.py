@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gemello.operators.scan import scan
+
 
 def fold_range(override: Column, opens: Column, closes: Column, pieces: Column) -> Column:
     """The range of a fold as struct (start_line, start_col, end_line, end_col); null if it holds nothing.
@@ -27,17 +28,23 @@ def fold_order(folds: DataFrame, keys: list[str]) -> DataFrame:
     return folds.withColumn("ord", F.row_number().over(Window.partitionBy(*keys).orderBy("start", F.desc("end"), "depth", "id")))
 
 
-def _clipped(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["start", "end", "id"], ascending=[True, False, True], kind="stable", ignore_index=True)
-    starts, ends = rows["start"].to_list(), rows["end"].to_list()
-    until, open_ = list(ends), []
-    for k, (start, end) in enumerate(zip(starts, ends, strict=True)):
-        while open_ and (until[open_[-1]] <= start or starts[open_[-1]] < start and until[open_[-1]] < end):
-            top = open_.pop()  # closed before this one, or crossed by it
-            until[top] = min(until[top], start)
-        open_.append(k)
-    rows["end"] = until
-    return rows[rows["start"] < rows["end"]]
+class _Clip:
+    """A stack over one file's folds by start."""
+
+    def __init__(self) -> None:
+        self.open: list[list] = []  # rows that may still be clipped, with start and end last
+
+    def add(self, row: tuple) -> list[tuple]:
+        *_, start, end = row
+        done = []
+        while self.open and (self.open[-1][-1] <= start or self.open[-1][-2] < start and self.open[-1][-1] < end):
+            top = self.open.pop()  # closed before this one, or crossed by it
+            done.append((*top[:-1], min(top[-1], start)))
+        self.open.append(list(row))
+        return [r for r in done if r[-2] < r[-1]]
+
+    def end(self) -> list[tuple]:
+        return [tuple(r) for r in self.open if r[-2] < r[-1]]
 
 
 def strict_nesting(folds: DataFrame, keys: list[str]) -> DataFrame:
@@ -46,7 +53,7 @@ def strict_nesting(folds: DataFrame, keys: list[str]) -> DataFrame:
     One pass with a stack over a file's folds by start; columns beyond those four are dropped.
     """
     own = folds.select(*keys, "id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
-    return own.groupBy(*keys).applyInPandas(_clipped, own.schema)
+    return scan(own, keys, ["start", F.desc("end"), "id"], _Clip, own.schema)
 
 
 def fold_sets(regions: DataFrame, keys: list[str]) -> DataFrame:
@@ -139,19 +146,27 @@ def common_words(parts: Column) -> Column:
     return (both > 2) & (2 * both >= F.size(F.filter(parts, lambda p: p["kind"] != "both")))
 
 
-def increasing_pairs(positions: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lhs, rhs): of positions (keys, seq, lhs, rhs) in their order, those beyond the last one taken on both sides."""
+class _Increasing:
+    """The last pair that was taken."""
 
-    def taken(rows: pd.DataFrame) -> pd.DataFrame:
-        keep, high = [], (-1, -1)
-        for k, pair in enumerate(rows.sort_values("seq")[["lhs", "rhs"]].itertuples(index=False, name=None)):
-            if pair[0] > high[0] and pair[1] > high[1]:
-                keep.append(k)
-                high = pair
-        return rows.sort_values("seq").iloc[keep].drop(columns="seq")
+    def __init__(self) -> None:
+        self.high = (-1, -1)
 
+    def add(self, row: tuple) -> list[tuple]:
+        *key, _, lhs, rhs = row
+        if lhs > self.high[0] and rhs > self.high[1]:
+            self.high = (lhs, rhs)
+            return [(*key, lhs, rhs)]
+        return []
+
+    def end(self) -> list[tuple]:
+        return []
+
+
+def increasing_pairs(positions: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lhs, rhs): of positions (keys, seq, lhs, rhs) in their order, those beyond the last one taken on both sides."""
     own = positions.filter("rhs IS NOT NULL").select(*keys, "seq", "lhs", "rhs")
-    return own.groupBy(*keys).applyInPandas(taken, own.drop("seq").schema)
+    return scan(own, keys, ["seq"], _Increasing, own.drop("seq").schema)
 
 
 def blank_pairs(pairs: DataFrame, lines: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,22 +107,23 @@ def region_ids(items: DataFrame, keys: list[str]) -> DataFrame:
 def nest(spans: DataFrame, keys: list[str]) -> DataFrame:
     """spans (keys, id, start, end) with parent_id, the smallest other span that holds it; equal spans nest by id.
 
-    Spans don't cross, so a stack over a file's spans by start has the parent on top.
+    Spans don't cross. Each opens and closes along its file: closes of those that end at a place come first, then opens, the longer ones before,
+    then what is empty there. The number open at a span is its depth, and its parent the one that opened the depth above last.
     """
-
-    def parents(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["start", "end", "id"], ascending=[True, False, True], ignore_index=True)
-        open_, out = [], []
-        for k, end in zip(rows["id"].to_list(), rows["end"].to_list(), strict=True):
-            while open_ and open_[-1][1] < end:
-                open_.pop()
-            out.append(open_[-1][0] if open_ else None)
-            open_.append((k, end))
-        return rows.assign(parent_id=pd.Series(out, dtype="object"))
-
-    with_parent = spans.withColumn("parent_id", F.col("id")).schema
-    with_parent["parent_id"].nullable = True
-    return spans.groupBy(*keys).applyInPandas(parents, with_parent)
+    empty = F.col("start") == F.col("end")
+    at = lambda c, phase, size: F.struct(F.col(c).alias("_at"), phase.alias("_phase"), size.alias("_size"))
+    opens = at("start", F.when(empty, 2).otherwise(1), -F.col("end").cast("double"))
+    closes = at("end", F.when(empty, 3).otherwise(0), F.lit(0.0))
+    rows = spans.withColumn("_e", F.explode(F.array(F.struct(F.lit(1).alias("_step"), opens.alias("_o")), F.struct(F.lit(-1).alias("_step"), closes.alias("_o")))))
+    rows = rows.select(*spans.columns, "_e._step", "_e._o.*")
+    before = Window.partitionBy(*keys).orderBy("_at", "_phase", "_size", "id").rowsBetween(Window.unboundedPreceding, -1)
+    deep = rows.withColumn("_deep", F.coalesce(F.sum("_step").over(before), F.lit(0))).filter("_step = 1")
+    # a span stands among the children of its depth and opens the depth below
+    both = deep.withColumn("_r", F.explode(F.array(F.struct(F.col("_deep").alias("_level"), F.lit(False).alias("_opens")), F.struct((F.col("_deep") + 1).alias("_level"), F.lit(True).alias("_opens")))))
+    both = both.select("*", "_r.*")
+    level = Window.partitionBy(*keys, "_level").orderBy("_at", "_phase", "_size", "id").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("parent_id", F.last(F.when(F.col("_opens"), F.col("id")), ignorenulls=True).over(level)).filter("NOT _opens")
+    return found.select(*spans.columns, "parent_id")
 
 
 def merge_folds(folds: DataFrame, keys: list[str]) -> DataFrame:
