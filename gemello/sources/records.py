@@ -27,7 +27,7 @@ def problems(records: DataFrame) -> DataFrame:
     t = records.agg(
         F.count_if(F.col("type") == "start").alias("starts"), F.min_by("type", "seq").alias("first"), F.max_by("type", "seq").alias("last"),
         F.max(F.when(F.col("type") == "start", F.col("version"))).alias("version"), F.max(F.when(F.col("type") == "start", F.col("files"))).alias("listed"),
-        F.count_if(F.col("type") == "file").alias("files"), F.count_distinct(F.when(F.col("type") == "file", F.col("file_key"))).alias("keys"),
+        F.count_if(F.col("type") == "file").alias("files"), F.count_if(F.col("type") == "complete").alias("completes"), F.count_distinct(F.when(F.col("type") == "file", F.col("file_key"))).alias("keys"),
         F.count_if(F.col("type") == "invalid").alias("invalid"), F.max(F.when(F.col("type") == "complete", F.col("succeeded") + F.col("failed"))).alias("done"),
     )
     checks = {
@@ -35,7 +35,8 @@ def problems(records: DataFrame) -> DataFrame:
         "more than one start": F.col("starts") > 1,
         "start is not first": (F.col("starts") > 0) & (F.col("first") != "start"),
         "unknown version": F.col("version") != VERSION,
-        "incomplete": F.col("last") != "complete",
+        "incomplete": F.col("completes") == 0,
+        "record after complete": (F.col("completes") > 1) | (F.col("completes") == 1) & (F.col("last") != "complete"),
         "wrong counts": (F.col("done") != F.col("files")) | (F.col("listed") != F.col("files")),
         "repeated file": F.col("keys") != F.col("files"),
         "invalid record": F.col("invalid") > 0,
