@@ -118,3 +118,51 @@ def e9(spark, d):
         F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"), F.lit(', "name": "'), kind, F.lit('"}'),
     )
     return flatten(e.select("event_id", json.alias("json")), ["event_id"])
+
+
+@query(
+    "x17_wrap",
+    """WITH RECURSIVE t AS (SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS text FROM conversations),
+    words AS (SELECT conv_id, turn, i - 1 AS i, w[i] AS word, sum(length(w[i]) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i) - 1 AS stop FROM (SELECT conv_id, turn, string_split(text, ' ') AS w FROM t WHERE text <> ''), unnest(generate_series(1, len(w))) AS u(i)),
+    fits AS (SELECT a.conv_id, a.turn, a.i, max(b.i) + 1 AS nxt, string_agg(b.word, ' ' ORDER BY b.i) AS text FROM words a JOIN words b ON b.conv_id = a.conv_id AND b.turn = a.turn AND b.i >= a.i AND b.i <= a.i + 40 AND b.stop <= a.stop - length(a.word) + 40 GROUP BY ALL),
+    go(conv_id, turn, line, i) AS (SELECT DISTINCT conv_id, turn, 0, 0 FROM words UNION ALL SELECT g.conv_id, g.turn, g.line + 1, f.nxt FROM go g JOIN fits f ON f.conv_id = g.conv_id AND f.turn = g.turn AND f.i = g.i)
+    SELECT conv_id, turn, line, text FROM go JOIN fits USING (conv_id, turn, i) UNION ALL SELECT conv_id, turn, 0, '' FROM t WHERE text = ''""",
+)
+def x17(spark, d):
+    from gemello.operators.wrap import wrap
+
+    return wrap(table(spark, d, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"], 40)
+
+
+OIDS = "ids AS (SELECT DISTINCT sha1(encode('blob ' || CAST(octet_length(encode(coalesce(text, ''))) AS VARCHAR)) || '\\x00'::BLOB || encode(coalesce(text, ''))) AS oid FROM documents)"
+
+
+def oids(spark: SparkSession, d: str) -> DataFrame:
+    from gemello.sources.snapshots import blob_oid
+
+    return documents(spark, d).select(blob_oid(F.coalesce("text", F.lit(""))).alias("oid"))
+
+
+@query(
+    "s3_short_ids",
+    f"""WITH {OIDS}, p AS (SELECT oid, k, left(oid, k) AS prefix FROM ids, (SELECT unnest(range(4, 41)) AS k)), n AS (SELECT prefix, count(*) AS n FROM p GROUP BY prefix)
+    SELECT oid, arg_min(prefix, k) AS short FROM p JOIN n USING (prefix) WHERE n = 1 GROUP BY oid""",
+)
+def s3(spark, d):
+    from gemello.sources.short_ids import shortest
+
+    return shortest(oids(spark, d))
+
+
+@query(
+    "s3_resolve_prefixes",
+    f"""WITH {OIDS}, asked AS (SELECT left(oid, k) AS prefix FROM ids, (SELECT unnest([3, 4, 5]) AS k) UNION SELECT reverse(left(oid, 6)) FROM ids)
+    SELECT prefix, CASE WHEN length(prefix) < 4 THEN 'too_short' WHEN count(oid) = 1 THEN 'found' WHEN count(oid) > 1 THEN 'ambiguous' ELSE 'unknown' END AS outcome, CASE WHEN length(prefix) >= 4 AND count(oid) = 1 THEN min(oid) END AS oid
+    FROM asked LEFT JOIN ids ON starts_with(oid, prefix) GROUP BY prefix""",
+)
+def s3_resolve(spark, d):
+    from gemello.sources.short_ids import resolve
+
+    ids = oids(spark, d)
+    asked = ids.select(F.explode(F.array(*[F.left("oid", F.lit(k)) for k in (3, 4, 5)], F.reverse(F.left("oid", F.lit(6))))).alias("prefix"))
+    return resolve(asked, ids)

@@ -380,3 +380,23 @@ def p10_cycles(spark, d):
     roots = e.select("grp").distinct().select(F.col("grp").alias("language"), F.lit(1).alias("ord"), F.concat("grp", F.lit("/click")).alias("source"))
     found = assembly.cycles(assembly.import_tree(roots, written(follows, "imports")))
     return found.select("language", F.array_join("cycle", " -> ").alias("cycle"))
+
+
+@query(
+    "a12_row_summaries",
+    f"""WITH {PAGES}, {tree_sql(GRAMMARS["html"])}, r AS (SELECT file, id, last, NOT is_list AS is_leaf, CAST(length(coalesce(content, '')) % 5 AS BIGINT) AS lines, id % 6 = 4 AS collapsed FROM tree),
+    items AS (SELECT x.file, x.id, i.id AS item, i.collapsed, CASE WHEN i.collapsed THEN 0 ELSE i.lines END AS lines FROM r x JOIN r i ON i.file = x.file AND i.id > x.id AND i.id <= x.last AND (i.is_leaf OR i.collapsed)
+      WHERE NOT x.collapsed AND NOT EXISTS (SELECT 1 FROM r c WHERE c.file = x.file AND c.collapsed AND c.id > x.id AND c.id < i.id AND c.last >= i.id)),
+    runs AS (SELECT *, sum(CAST(collapsed AS INT)) OVER (PARTITION BY file, id ORDER BY item) AS run FROM items),
+    gaps AS (SELECT file, id, run, sum(lines) AS lines, count(*) FILTER (collapsed) AS n FROM runs GROUP BY ALL),
+    s AS (SELECT file, id, sum(n) AS n, max(lines) AS longest, coalesce(sum(lines) FILTER (run = 0), 0) AS ahead, arg_max(lines, run) AS behind FROM gaps GROUP BY ALL)
+    SELECT r.file, r.id, CAST(CASE WHEN collapsed THEN 1 ELSE coalesce(n, 0) END AS BIGINT) AS collapsed_rows,
+      CAST(CASE WHEN collapsed THEN 0 WHEN is_leaf THEN r.lines ELSE coalesce(ahead, 0) END AS BIGINT) AS "leading", CAST(CASE WHEN collapsed THEN 0 WHEN is_leaf THEN r.lines ELSE coalesce(behind, 0) END AS BIGINT) AS "trailing",
+      CAST(CASE WHEN collapsed THEN 0 WHEN is_leaf THEN r.lines ELSE coalesce(longest, 0) END AS BIGINT) AS longest_gap
+    FROM r LEFT JOIN s USING (file, id)""",
+)
+def a12(spark, d):
+    from gemello.operators.summaries import row_summaries
+
+    nodes = page_tree(spark, d).select("file", "id", "pre", "last", "level", (~F.col("is_list")).alias("is_leaf"), (F.length(F.coalesce("content", F.lit(""))) % 5).cast("long").alias("lines"), (F.col("id") % 6 == 4).alias("collapsed"))
+    return row_summaries(written(nodes, "regions"), ["file"])
