@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gemello.operators import assembly, parse, propagate, regions, siblings
+from gemello.operators import assembly, edits, parse, propagate, regions, siblings
 from gemello.operators.parse import GRAMMARS, Grammar
 from gemello.operators.tree import hidden, partners
 from gemello.operators.twigs import Twig, matches, tagged
@@ -400,3 +400,43 @@ def a12(spark, d):
 
     nodes = page_tree(spark, d).select("file", "id", "pre", "last", "level", (~F.col("is_list")).alias("is_leaf"), (F.length(F.coalesce("content", F.lit(""))) % 5).cast("long").alias("lines"), (F.col("id") % 6 == 4).alias("collapsed"))
     return row_summaries(written(nodes, "regions"), ["file"])
+
+
+def talk_edits(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(regions, requests) over the two sides of the conversations: every third left node cut at some character, the first three children of every left
+    list joined together with what they are paired with."""
+    nodes, changes = talk_changes(spark, d)
+    n = nodes.join(changes.select("file", "side", "id", "opposite_id"), ["file", "side", "id"])
+    right = (F.col("side") == "rhs").cast("int")
+    region = 2 * F.col("id") + right
+    leaf = ~F.col("is_list")
+    name = F.col("file").cast("string")
+    regs = n.select(
+        name.alias("file"), "side", region.alias("id"), (2 * F.col("parent_id") + right).alias("parent_id"), "ord", "start", "end", leaf.alias("is_leaf"),
+        F.when(leaf, F.when((F.col("side") == "rhs") & F.col("opposite_id").isNotNull(), 2 * F.col("opposite_id")).otherwise(region)).alias("alignment_id"), F.when(~leaf, region).alias("fold_state_id"),
+    )
+    left = n.filter("side = 'lhs'")
+    cuts = left.filter("id % 3 = 0").select(name.alias("file"), F.col("id").alias("request"), F.lit("cut").alias("kind"), F.array(2 * F.col("id")).alias("ids"), (F.col("id") % 5).alias("offset"))
+    three = left.filter("parent_id IS NOT NULL AND ord < 3").select(name.alias("file"), "parent_id", F.explode(F.array_compact(F.array(2 * F.col("id"), 2 * F.col("opposite_id") + 1))).alias("id"))
+    joins = three.groupBy("file", "parent_id").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("file", (100_000 + F.col("parent_id")).alias("request"), F.lit("join").alias("kind"), "ids", F.lit(None).cast("long").alias("offset"))
+    return written(regs, "regions"), cuts.unionByName(joins)
+
+
+@query(
+    "t22_edit_refusals",
+    f"""WITH {TALKS}, {CHANGES}, n AS (SELECT * FROM nodes JOIN changes c USING (file, side, id)),
+    cuts AS (SELECT l.file, l.id AS request, CASE WHEN l.is_list THEN 'not_a_leaf' WHEN NOT (l.id % 5 > 0 AND l.id % 5 < l.stop - l.start) THEN 'out_of_range' WHEN r.stop - r.start <> l.stop - l.start THEN 'uneven_sides' END AS reason
+      FROM n l LEFT JOIN n r ON r.file = l.file AND r.side = 'rhs' AND NOT r.is_list AND r.opposite_id = l.id WHERE l.side = 'lhs' AND l.id % 3 = 0),
+    kids AS (SELECT l.file, l.parent_id AS list, l.id, l.opposite_id, r.parent_id AS r_parent, r.ord AS r_ord FROM n l LEFT JOIN n r ON r.file = l.file AND r.side = 'rhs' AND r.id = l.opposite_id WHERE l.side = 'lhs' AND l.parent_id IS NOT NULL AND l.ord < 3),
+    joins AS (SELECT file, 100000 + list AS request, CASE WHEN count(*) + count(opposite_id) < 2 THEN 'too_few' WHEN count(*) = 1 OR count(opposite_id) = 1 THEN 'one_sided'
+        WHEN count(DISTINCT r_parent) > 1 OR max(r_ord) - min(r_ord) + 1 <> count(opposite_id) THEN 'not_siblings' END AS reason FROM kids GROUP BY file, list)
+    SELECT CAST(file AS VARCHAR) AS file, request, reason FROM (SELECT * FROM cuts UNION ALL SELECT * FROM joins)""",
+)
+def t22(spark, d):
+    return edits.judged(*talk_edits(spark, d)).select("file", "request", "reason")
+
+
+@query("t18_t19_bulk_edits")
+def t18_t19(spark, d):
+    """The regions after those cuts and joins that were taken; tests hold them against the same edits one after another."""
+    return edits.edited(*talk_edits(spark, d))[0]
