@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ COVERED = 80
 #: Bits of a bucket's number: a bucket for some 16 bytes of text, within these bounds. The greatest bitmap that is broadcast has 128 MiB.
 LEAST_BITS, MOST_BITS, TEXT_BYTES = 16, 30, 16
 #: Words that a task counts together, but for a longer document.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 #: Parts of a language that are ranked on their own first.
 PARTS = 32
 COUNTS = "lang string, phrase string, bucket long, n long"
@@ -139,6 +140,7 @@ def counts_of(docs: DataFrame, k: int, bits: int, frequent: Bitmap, buckets: Bit
         seed = xxhash.xxh64_intdigest(lang.encode())
         hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in names), np.uint64, len(names))[words]
         at = grams(words, hashes, k, frequent, buckets)
+        del ids
         if k == 1:
             yield batch(pa.array([lang]), pa.nulls(1, pa.string()), [None], [len(at)])
         if k < WORDS:
@@ -155,10 +157,11 @@ def counts_of(docs: DataFrame, k: int, bits: int, frequent: Bitmap, buckets: Bit
                 m = len(number[a : a + (1 << 16)])
                 yield batch(pa.nulls(m, pa.string()), pa.nulls(m, pa.string()), number[a : a + m], n[a : a + m])
         at, n = counted(words, at, k, len(names))
+        held = pa.array(names, pa.binary())
         for a in range(0, len(at), 1 << 14):
             some = at[a : a + (1 << 14)]
-            phrases = [b" ".join([names[w] for w in words[p : p + k]]).decode() for p in some]
-            yield batch(pa.array([lang] * len(some), pa.string()), pa.array(phrases, pa.string()), pa.nulls(len(some), pa.int64()), n[a : a + len(some)])
+            phrases = pc.binary_join_element_wise(*[held.take(pa.array(words[some + i])) for i in range(k)], b" ").cast(pa.string())
+            yield batch(pa.array([lang] * len(some), pa.string()), phrases, pa.nulls(len(some), pa.int64()), n[a : a + len(some)])
 
     def of(batches):
         held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
