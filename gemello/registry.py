@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-from gemello.queries import diffs, folds, layout, metadata, streams, text, trees, views  # noqa: E402, F401  register their queries
+from gemello.queries import carried, diffs, folds, layout, metadata, streams, text, trees, views  # noqa: E402, F401  register their queries
