@@ -33,8 +33,8 @@ from gemello.session import shared_dir, written
 
 #: Bytes of an archive that one task reads.
 SPLIT = 16 << 20
-#: Bytes read at a time, and the longest header block that a candidate may have.
-CHUNK, HEADER_MAX = 1 << 20, 1 << 16
+#: Bytes read at a time.
+CHUNK = 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 MANIFEST = "archive string, bytes long, records long"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, record_offset long, archive string"
@@ -132,7 +132,7 @@ class _Window:
 def _member(window: _Window, start: int) -> tuple[bytes, int] | None:
     """The content of the WARC record in a gzip member at start and where the member ends; None if there is no such member."""
     inflate, parts, at, known = zlib.decompressobj(31), [], start, False
-    size = 0
+    head, last = b"", b""  # the first bytes, which say whether it is a record, and the last ones before the part at hand
     try:
         while not inflate.eof:
             raw = window.at(at, 65536)
@@ -140,15 +140,13 @@ def _member(window: _Window, start: int) -> tuple[bytes, int] | None:
                 return None
             out = inflate.decompress(raw)
             parts.append(out)
-            size += len(out)
             at += len(raw) - len(inflate.unused_data)
             if not known:
-                head = b"".join(parts)
-                if not b"WARC/1.".startswith(head[:7]):
-                    return None
-                known = b"\r\n\r\n" in head
-                if size > HEADER_MAX and not known:
+                head += out[: 7 - len(head)]
+                if not b"WARC/1.".startswith(head):
                     return None
+                known = b"\r\n\r\n" in last + out
+                last = (last + out)[-3:]
     except zlib.error:
         return None
     return (b"".join(parts), at) if known else None
