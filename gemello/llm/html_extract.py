@@ -32,6 +32,8 @@ BLOCK = frozenset(
     " header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: What may stand in a head that has no end tag; anything else ends it.
+HEAD = frozenset("head title style script noscript template base basefont bgsound link meta object".split())
 SKIP = frozenset("script style noscript template head title svg math iframe object canvas audio video select textarea button datalist".split())
 BOILER = frozenset("nav footer aside menu dialog".split())
 FORMS = frozenset("form fieldset".split())
@@ -53,30 +55,28 @@ _KINDS = [(kind, re.compile(rf"(?:^|[_-])(?:{words})(?:$|[_-])", re.I)) for kind
 ADVERT, ASIDE, COMMENT, HARD = 1, 2, 3, 4
 #: Class words that speak of the article's own header, or of what a wrapper has.
 OWN = re.compile(r"(?:article|post|entry|story|content|section|chapter)[_-]header$|(?:has|with|no|without|is)[_-]", re.I)
-#: Characters fed to the parser at a time, the longest tag whose attributes are read, and how many that aren't well formed are tried.
-FEED, TAG_MAX, TRIES = 65_536, 65_536, 1000
+#: Characters fed to the parser at a time.
+FEED = 65_536
 SIGMA, RADIUS, THRESHOLD = 1.0, 2, 0.5
 #: The least ratio of a line that its neighbours can lift over the threshold.
 LEAST = 1
 #: A parent with so many times the mass is the better region.
 WIDER = 1.25
-_TAG = re.compile(r"""<[A-Za-z][^\s"'<>/=]*+(?>\s++[^\s"'<>/=]++(?>\s*+=\s*+(?>"[^"]*"|'[^']*'|[^\s"'=<>`]++))?)*+\s*+/?>""")
+_TAG = re.compile(r"""<[A-Za-z][^\s"'<>/=]*+(?>(?:\s++|(?<=["']))[^\s"'<>/=]++(?>\s*+=\s*+(?>"[^"]*"|'[^']*'|[^\s"'=<>`]++))?)*+\s*+/?>""")
 _NAME = re.compile(r"<([A-Za-z][A-Za-z0-9:_-]*)")
 _RAW_END = {n: re.compile(rf"</\s*{n}\s*>", re.I) for n in ("script", "style")}
 
 
 def well_formed(html: str) -> str:
     """html with every tag closed and readable, in one pass: tags that aren't well formed lose their attributes, unclosed ends are cut."""
-    at = done = tries = 0
+    at = done = 0
     parts = []
     while (at := html.find("<", at)) >= 0:
         c = html[at + 1 : at + 2]
         if c.isascii() and c.isalpha():
-            m = _TAG.match(html, at, at + TAG_MAX) if tries < TRIES else None
-            if m:
+            if m := _TAG.match(html, at):  # in time in proportion to the tag: whatever follows is read once more at most
                 end = m.end()
             else:
-                tries += 1
                 end = html.find(">", at) + 1
                 name = _NAME.match(html, at)[1]
                 parts += [html[done:at], f"<{name}>" if end else ""]
@@ -153,8 +153,18 @@ class _Lines(HTMLParser):
             self.hidden -= name[0] == "-"
         del inline[len(inline) - n :]
 
+    def _end_head(self, tag: str) -> None:
+        """A head without end tag ends where what can't be in it begins, at the body in any case."""
+        _, _, inline, counts, _ = self.stack[-1]
+        if counts.get("head") and tag not in HEAD and (tag == "body" or inline[-1] == "-head"):
+            n = len(inline) - inline.index("-head")
+            for name in inline[len(inline) - n :]:
+                counts[name.removeprefix("-")] -= 1
+            self._close(inline, n)
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        self._end_head(tag)
         if tag in VOID:
             if tag == "br":
                 self.text.append("\n")
