@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gemello.operators.ranking import global_row_number
+from gemello.session import written
 
 #: Stands after a source's own path, so that it follows what it imports.
 AFTER = (1 << 31) - 1
@@ -38,6 +39,31 @@ def import_tree(roots: DataFrame, imports: DataFrame, levels: int = 100) -> Data
     )
 
 
+def first_ways(roots: DataFrame, imports: DataFrame) -> DataFrame:
+    """(language, path, sources, cyclic): of the ways of import_tree() that are no cycles, the first to each source of a language.
+
+    A source's first way goes on from the first way of what imports it there, so that rounds of joins keep one way for each source and go on with those
+    that a round has found or bettered, until there are none. Rows grow with languages and sources, not with ways.
+    """
+    imports = imports.select("source", F.col("ord").cast("int").alias("ord"), "target")
+    new = roots.select("language", "source", F.array(F.col("ord").cast("int")).alias("path"), F.array("source").alias("sources"))
+    found = new = written(_first(new), "ways")
+    while not new.isEmpty():
+        step = new.join(imports, "source").filter(~F.array_contains("sources", F.col("target")))
+        step = step.select("language", F.col("target").alias("source"), F.concat("path", F.array("ord")).alias("path"), F.concat("sources", F.array("target")).alias("sources"))
+        step = written(_first(step), "ways")
+        # what a round reaches may be little against all that is known
+        known = found.join(step.select("language", "source"), ["language", "source"]).groupBy("language", "source").agg(F.min("path").alias("known"))
+        new = written(step.join(known, ["language", "source"], "left").filter("known IS NULL OR path < known").drop("known"), "ways")
+        found = found.unionByName(new)
+    return _first(found).withColumn("cyclic", F.lit(False))
+
+
+def _first(ways: DataFrame) -> DataFrame:
+    """The first way to each source of a language."""
+    return ways.groupBy("language", "source").agg(F.min(F.struct("path", "sources")).alias("w")).select("language", "source", "w.*")
+
+
 def cycles(ways: DataFrame) -> DataFrame:
     """(language, cycle): the sources of each cycle that a way ends in, the first one again at its end."""
     last = F.element_at("sources", -1)

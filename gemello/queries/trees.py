@@ -354,7 +354,7 @@ def imports(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     SELECT language, row_number() OVER (PARTITION BY language ORDER BY list_append(path, 2147483647)) AS place, source FROM first""",
 )
 def p10(spark, d):
-    return assembly.assembled(assembly.import_tree(*imports(spark, d)))
+    return assembly.assembled(assembly.first_ways(*imports(spark, d)))
 
 
 #: SQL of which event follows which for a user: what follows is imported, in alphabetical order.

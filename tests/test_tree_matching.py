@@ -145,6 +145,25 @@ def test_random_imports_against_a_walk(spark):
     assert [r.source for r in assembly.assembled(ways(spark, roots, edges)).orderBy("place").collect()] == out
 
 
+def test_first_ways_are_those_of_all_ways(spark):
+    rng = random.Random(9)
+    edges = [(f"n{rng.randrange(7)}", k, f"n{rng.randrange(7)}") for k in range(12)]
+    roots = [(lang, k, f"n{n}") for lang in "lm" for k, n in enumerate(rng.sample(range(7), 3))]
+    first = assembly.first_ways(spark.createDataFrame(roots, "language string, ord int, source string"), spark.createDataFrame(edges, "source string, ord int, target string"))
+    want = {}
+    for r in ways(spark, roots, edges).filter("NOT cyclic").collect():
+        key = (r.language, r.sources[-1])
+        want[key] = min(want.get(key, (r.path, r.sources)), (r.path, r.sources))
+    assert {(r.language, r.source): (r.path, r.sources) for r in first.collect()} == want
+
+
+def test_more_ways_than_a_recursion_may_have(spark):
+    """Each of three steps can be gone in 101 ways: more than 1,000,000 ways, 4 sources."""
+    edges = [(f"n{k}", i, f"n{k + 1}") for k in range(3) for i in range(101)]
+    first = assembly.first_ways(spark.createDataFrame([("l", 1, "n0")], "language string, ord int, source string"), spark.createDataFrame(edges, "source string, ord int, target string"))
+    assert [r.source for r in assembly.assembled(first).orderBy("place").collect()] == ["n3", "n2", "n1", "n0"]
+
+
 @pytest.mark.parametrize(("text", "want"), [("; inherits: a, b,, c \n(x)", ["a", "b", "c"]), (" ;inherits:x", ["x"]), ("(x)\n; inherits: a", None), ("; inherits a", None), ("", None), (None, None)])
 def test_import_lines(spark, text, want):
     df = spark.createDataFrame([(text,)], "t string")
