@@ -24,15 +24,17 @@ from gemello.sources.records import VERSION
 
 NAME = "gemello_records"
 LIST = "_files.json"
-#: Bytes that a task reads, and that are read at once.
+#: Bytes of a range, those of the ranges that a task reads at least, and bytes that are read at once, at most and at least.
 SPLIT = 64 << 20
+TASK = 8 << 20
 BLOCK = 1 << 20
+LEAST = 4 << 10
 ROWS = 1024
 
 
 @dataclass
-class Range(InputPartition):
-    """The lines of one file that begin in [start, end)."""
+class Span:
+    """Ranges of one file that follow each other: of split bytes each, from start to end."""
 
     file: int
     path: str
@@ -40,6 +42,14 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """What a task reads: the lines that begin in each range of its spans. Short ranges make neither more tasks nor larger ones to plan."""
+
+    split: int
+    of: list[Span]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """What a task has written: its file, and the records and failures in it."""
@@ -71,25 +81,36 @@ class RecordReader(DataSourceReader):
     def __init__(self, path: str, split: int) -> None:
         self.path, self.split = path, split
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, folder = fs.FileSystem.from_uri(self.path)
-        out = []
+        most = -(-TASK // self.split) * self.split
+        out, held = [], most
         for k, name in enumerate(listed(system, folder)):
-            size = system.get_file_info(f"{folder}/{name}").size
-            out += [Range(k, name, a, min(a + self.split, size)) for a in range(0, size, self.split)]
+            size, at = system.get_file_info(f"{folder}/{name}").size, 0
+            while at < size:
+                if held >= most:
+                    out.append(Ranges(self.split, []))
+                    held = 0
+                # whole ranges, but for a file's last
+                end = min(size, at + max(self.split, (most - held) // self.split * self.split))
+                out[-1].of.append(Span(k, name, at, end))
+                held, at = held + end - at, end
         return out
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         system, folder = fs.FileSystem.from_uri(self.path)
-        with system.open_input_file(f"{folder}/{partition.path}") as f:
-            rows = []
-            for offset, line in lines(f, partition.start, partition.end):
-                rows.append((partition.file, offset, line.decode("utf-8", "replace")))
-                if len(rows) == ROWS or len(line) > BLOCK:
-                    yield batch(rows)
-                    rows = []
-            if rows:
-                yield batch(rows)
+        rows, held = [], 0
+        for span in partition.of:
+            with system.open_input_file(f"{folder}/{span.path}") as f:
+                for start in range(span.start, span.end, partition.split):
+                    for offset, line in lines(f, start, min(start + partition.split, span.end)):
+                        rows.append((span.file, offset, line.decode("utf-8", "replace")))
+                        held += len(line)
+                        if len(rows) == ROWS or held > BLOCK:
+                            yield batch(rows)
+                            rows, held = [], 0
+        if rows:
+            yield batch(rows)
 
 
 def batch(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
@@ -108,11 +129,16 @@ def listed(system: fs.FileSystem, folder: str) -> list[str]:
 
 
 def lines(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, line) of the lines of an open file that begin in [start, end), without blank ones. The last may end beyond."""
+    """(offset, line) of the lines of an open file that begin in [start, end), without blank ones. The last may end beyond.
+
+    Of a line of the range before, no more is read than this range, however long the line is.
+    """
     f.seek(max(0, start - 1))
     at, rest, first = max(0, start - 1), [], start > 0
+    read, size = at, min(BLOCK, max(end - start, LEAST))
     while True:
-        block = f.read(BLOCK)
+        block = f.read(size)
+        read += len(block)
         pieces = block.split(b"\n")
         for k, piece in enumerate(pieces):
             rest.append(piece)
@@ -126,7 +152,7 @@ def lines(f, start: int, end: int) -> Iterator[tuple[int, bytes]]:
                 elif line.strip():
                     yield at, line
                 at += len(line) + 1
-        if not block or at >= end and not first:
+        if not block or (read if first else at) >= end:
             return
 
 

@@ -3,6 +3,7 @@
 import io
 import json
 import os
+import pickle
 import random
 
 import pytest
@@ -54,6 +55,29 @@ def test_a_written_stream_reads_back_whole(spark):
     assert problems(decode(rs.read_stream(spark, empty)).withColumn("seq", F.struct("file", "offset"))).count() == 0
 
 
+def test_short_ranges_make_no_more_tasks(spark):
+    path = shared_dir(spark, "stream")
+    rs.write_stream(records(spark, 500).repartition(6), path)
+    df = rs.read_stream(spark, path, 100)
+    assert df.rdd.getNumPartitions() == 1 and df.count() == 502
+
+
+def test_many_ranges_are_little_to_plan(tmp_path):
+    with open(tmp_path / "part-0", "wb") as f:
+        f.truncate(1 << 32)
+    (tmp_path / "part-1").write_bytes(b"x" * 70)
+    tasks = rs.RecordReader(f"file://{tmp_path}", 20_000).partitions()
+    assert len(tasks) <= 600 and len(pickle.dumps(tasks)) < 200_000
+    spans = [s for t in tasks for s in t.of]
+    assert [(s.file, s.start) for s in spans] == [(0, 0), *((s.file, s.end) for s in spans[:-2]), (1, 0)] and (spans[-2].end, spans[-1].end) == (1 << 32, 70)
+
+
+def test_a_range_within_a_line_reads_no_further():
+    data = io.BytesIO(b"a" * 3_000_000 + b"\nb\n")
+    assert list(rs.lines(data, 10_000, 30_000)) == [] and data.tell() < 60_000
+    assert list(rs.lines(data, 2_990_000, 3_000_002)) == [(3_000_001, b"b")]
+
+
 def test_an_aborted_stream_leaves_no_list(spark):
     path = shared_dir(spark, "stream")
     bad = records(spark, 50).repartition(2).withColumn("line", F.when(F.col("line").contains("k7"), F.raise_error(F.lit("lost"))).otherwise(F.col("line")))
