@@ -55,8 +55,24 @@ def extname(path: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(name, r"^\.+", ""), r"(\.[^.]*)$", 1)
 
 
+#: Characters whose upper case is one character by the simple mapping and several by the full one. All others of that kind have none but themselves.
+_ONE = {"ß": "ẞ", **{chr(c): chr(c + 8) for r in (0x1F80, 0x1F90, 0x1FA0) for c in range(r, r + 8)}, **{c: chr(ord(c) + 9) for c in "ᾳῃῳ"}}
+
+
+def simple_lower(s: Column) -> Column:
+    """Lower case by characters: a sigma at a word's end is as any other, and a dotted capital I has no dot left over."""
+    return F.lower(F.replace(F.replace(s, F.lit("Σ"), F.lit("σ")), F.lit("İ"), F.lit("i")))
+
+
+def simple_upper(c: Column) -> Column:
+    """The upper case of one character, itself one character (ẞ for ß, where the full mapping has SS)."""
+    full = F.upper(c)
+    return F.when(F.length(full) <= 1, full).otherwise(F.translate(c, "".join(_ONE), "".join(_ONE.values())))
+
+
 def capitalized(s: Column) -> Column:
-    return F.concat(F.upper(F.left(s, F.lit(1))), F.substr(s, F.lit(2)))
+    """s with its first character in upper case, by the simple mapping."""
+    return F.concat(simple_upper(F.left(s, F.lit(1))), F.substr(s, F.lit(2)))
 
 
 def numbered(s: Column) -> Column:

@@ -26,7 +26,7 @@ _docs("x5_split_words_numbers", "len(regexp_extract_all(text, '[0-9]+|[\\p{L}_]+
 _docs("x7_comment_form", "CASE WHEN contains(text, chr(10)) THEN array_to_string(list_transform(string_split(replace(text, chr(10), chr(10) || '  '), chr(10)), lambda p: regexp_replace(p, '^\\s+', '')), chr(10)) ELSE text END",
       lambda t: x.comment_form(F.regexp_replace(t, "\n", "\n  ")))
 _docs("x8_line_bytes", "octet_length(encode(text))", lambda t: x.line_bytes(F.concat(t, F.lit("\n"))).cast("long"))
-_docs("x10_capitalized", "upper(left(lower(text), 1)) || substr(lower(text), 2)", lambda t: x.capitalized(F.lower(t)))
+_docs("x10_capitalized", "upper(left(lower(text), 1)) || substr(lower(text), 2)", lambda t: x.capitalized(x.simple_lower(t)))
 _docs("x11_numbered", "array_to_string(list_transform(string_split(text, chr(10)), lambda p, i: lpad(CAST(i AS VARCHAR), 5, ' ') || ' | ' || p), chr(10))", x.numbered)
 _docs("x13_separators_whole", "replace(text, chr(10), '\\u2028\\u0085\\u2029') || '\\u2029'",
       lambda t: __import__("gemello.sinks", fromlist=["x"]).escape_separators(F.concat(F.replace(t, F.lit("\n"), F.lit("\u2028\u0085\u2029")), F.lit("\u2029"))))

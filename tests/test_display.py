@@ -1,8 +1,9 @@
 """Terminal columns and summaries."""
 
+import duckdb
 from pyspark.sql import functions as F
 
-from gemello.functions import display
+from gemello.functions import display, strings
 from gemello.plans import summarize
 
 
@@ -22,3 +23,12 @@ def test_summaries_that_are_short_enough(spark):
     folds = spark.createDataFrame(rows, "file string, id long, side string, tags array<string>, one_sided boolean, start long, end long, text string")
     assert [(r.id, r.label) for r in summarize.summarized(folds, lambda t: "short").collect()] == [(1, "short")]
     assert summarize.summarized(folds, lambda t: (_ for _ in ()).throw(OSError())).count() == 0
+
+
+def test_capitals_are_those_of_sql(spark):
+    """Letters whose full mapping has several characters, and those with a lower case of their own at a word's end."""
+    several = [chr(c) for c in range(0xDF, 0x1E000) if not 0xD800 <= c < 0xE000 and len(chr(c).upper()) > 1]
+    texts = [*several, *(c + "x" for c in several), "ΑΣ ΟΔΟΣ", "İXİ", "ßachzu", "", "éA", "ǆ", "𐐨𐐀", "1A"]
+    want = duckdb.connect().execute("SELECT t, upper(left(lower(t), 1)) || substr(lower(t), 2) FROM (SELECT unnest(?) AS t)", [texts]).fetchall()
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert dict(df.select("t", strings.capitalized(strings.simple_lower(F.col("t")))).collect()) == dict(want)
