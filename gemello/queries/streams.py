@@ -32,7 +32,7 @@ def file_records(spark: SparkSession, d: str) -> DataFrame:
 def k2_files(spark, d):
     """All documents as records, written by many tasks and read back by byte ranges; place says where the ends of the stream stand."""
     path = shared_dir(spark, "records")
-    write_stream(file_records(spark, d).repartition(5, "doc_id"), path)
+    write_stream(file_records(spark, d).repartition("doc_id"), path)
     back = decode(read_stream(spark, path, SPLIT))
     ends = back.agg(F.min(F.struct("file", "offset")).alias("a"), F.max(F.struct("file", "offset")).alias("b"))
     at = F.struct("file", "offset")
@@ -50,18 +50,19 @@ def s12_files(spark, d):
     out = None
     records = file_records(spark, d)
     for kind in range(6):
-        own = records.filter(F.col("doc_id") % 6 == kind)
-        n = own.count()
+        own = records.filter(F.col("doc_id") % 6 == kind).select("doc_id", "line")
+        n, least = own.agg(F.count(F.lit(1)), F.min("doc_id")).first()
         start = f'{{"type":"start","version":{9 if kind == 2 else 3},"files":{n}}}'
         done = f'{{"type":"complete","succeeded":{n},"failed":0}}'
-        ends = [(0, start)] + [(2, done)] * (kind not in (1, 4)) + [(2, '{"type":"file","file_key":')] * (kind == 4)
-        body = own.select(F.lit(1).alias("ord"), "line")
+        ends = [(0, 0, start)] + [(2, 0, done)] * (kind not in (1, 4)) + [(2, 0, '{"type":"file","file_key":')] * (kind == 4)
+        body = own.select(F.lit(1).alias("ord"), "doc_id", "line")
         if kind in (3, 5):
-            body = body.unionByName(own.orderBy("doc_id").limit(1).select(F.lit(1 if kind == 3 else 3).alias("ord"), "line"))
+            body = body.unionByName(body.filter(F.col("doc_id") == least).withColumn("ord", F.lit(1 if kind == 3 else 3)))
         if kind == 4:
-            body = body.join(own.orderBy("doc_id").limit(1).select("line"), "line", "left_anti")
+            body = body.filter(F.col("doc_id") != least)
         folder = shared_dir(spark, "replay")
-        body.unionByName(spark.createDataFrame(ends, "ord int, line string")).repartitionByRange(4, "ord").sortWithinPartitions("ord").select("line").write.text(folder)
+        # the records of a kind go over many files too, between those with its ends
+        body.unionByName(spark.createDataFrame(ends, "ord int, doc_id long, line string")).repartitionByRange("ord", "doc_id").sortWithinPartitions("ord", "doc_id").select("line").write.text(folder)
         back = decode(read_stream(spark, folder, SPLIT)).withColumn("seq", F.struct("file", "offset"))
         found = problems(back).select(F.lit(kind).alias("kind"), F.lit(n).cast("long").alias("listed"), "problem")
         out = found if out is None else out.unionByName(found)
