@@ -1,19 +1,23 @@
-"""Syntax trees of texts as node tables, by window functions over tokens.
+"""Syntax trees of texts as node tables.
 
-A grammar cuts a text into tokens that tile it. Opening and closing tokens of one name are matched by their running depth: the n-th opening token at
-a depth with the closing one that follows it there. What has no partner is an atom, or an error if it closes nothing. Pairs of different
+A grammar cuts a text into tokens that tile it. Opening and closing tokens of one name are matched, each closing one with the nearest opening one that
+is not closed yet. What has no partner is an atom, or an error if it closes nothing. Pairs of different
 names that cross are errors too; what remains nests. A token's level is the number of pairs open around it, its parent the pair opened last on the
 level above.
 
-Everything of a file is in one partition of the windows, as its text is in one row; no file meets another.
+Trees are made where their texts stand, in Arrow batches and with two stacks for the tokens that open and close: a file's text is in one row, no
+file meets another, and nothing is shuffled or sorted. tokens() and paired() give the same steps as window functions.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 @dataclass(frozen=True)
@@ -125,31 +129,148 @@ def tree(texts: DataFrame, grammar: Grammar, keys: list[str]) -> DataFrame:
     node's subtree, ord its place among its siblings. kind is list, comment, string, keyword, other, can_ignore (a comma or the like that ends
     a list) or error (a closing token without partner); an opening one without partner is an atom of kind open.
     """
-    p = paired(tokens(texts, grammar, keys), keys)
-    every = Window.partitionBy(*keys).orderBy("seq")
-    opens, closes = (F.col("partner") > F.col("seq")), (F.col("partner") < F.col("seq"))
-    node = F.when(F.coalesce(closes, F.lit(False)) | (F.col("type") == "skip"), 0).otherwise(1)
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    out = p.withColumns({"_node": node, "_step": step})
-    out = out.withColumns({"_upto": F.sum("_node").over(every), "level": F.sum("_step").over(every) - F.when(F.col("_step") == 1, 1).otherwise(0)})
-    # a list's closing token follows its opening one on their level, apart from atoms
-    pairs = Window.partitionBy(*keys, "level", F.col("_step") != 0).orderBy("seq")
-    at_close = F.lead(F.struct("_upto", "token", "end", (F.col("line") + breaks(F.col("token"))).alias("end_line"))).over(pairs)
-    out = out.withColumn("_close", F.when(F.col("_step") == 1, at_close)).filter("_node = 1")
-    is_list = F.col("_close").isNotNull()
-    kind = F.when(is_list, "list").when(F.col("type") == "close", "error").otherwise(F.col("type"))
-    nodes = out.select(
-        *keys, (F.col("_upto") - 1).alias("id"), "level", is_list.alias("is_list"), "name", F.when(is_list, F.col("token")).alias("open"), F.col("_close.token").alias("close"),
-        F.when(~is_list, F.col("token")).alias("content"), kind.alias("kind"), "start", F.coalesce("_close.end", "end").alias("end"), F.col("id").alias("pre"), F.coalesce(F.col("_close._upto") - 1, F.col("id")).alias("last"),
-        "line", F.coalesce("_close.end_line", F.col("line") + breaks(F.col("token"))).alias("end_line"),
-    )
-    nodes = with_parent(nodes, keys, F.col("id"), "parent_id")
-    among = Window.partitionBy(*keys, "parent_id").orderBy("pre")
-    nodes = nodes.withColumn("ord", F.row_number().over(among) - 1)
-    if grammar.trailing:
-        end = F.col("parent_id").isNotNull() & F.col("content").isin(*grammar.trailing) & F.lead("id").over(among).isNull() & (F.col("ord") > 0)
-        nodes = nodes.withColumn("kind", F.when(F.coalesce(end, F.lit(False)), "can_ignore").otherwise(F.col("kind")))
-    return nodes.select(*keys, "id", "parent_id", "ord", "pre", "last", "level", "is_list", "name", "open", "close", "content", "kind", "start", "end", "line", "end_line")
+    own = texts.select(*keys, "text")
+    schema = StructType([*own.select(*keys).schema.fields, *StructType.fromDDL(_NODE).fields])
+    return own.mapInArrow(_parser(grammar, len(keys)), schema)
+
+
+#: The columns of a node table beside its keys.
+_NODE = (
+    "id long, parent_id long, ord int, pre long, last long, level long, is_list boolean, name string, open string, close string, content string, kind string, start long, end long, line long, end_line long"
+)
+#: Characters of texts that are parsed at once, unless one alone is longer.
+CHARS = 1 << 18
+_KINDS = ["skip", "open", "close", "comment", "string", "keyword", "other", "list", "error", "can_ignore"]
+
+
+def _parser(grammar: Grammar, n_keys: int):
+    """A function from Arrow batches of texts (keys, text) to those of their nodes."""
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = {k: i for i, k in enumerate(_KINDS)}
+    columns = [f.split()[0] for f in _NODE.split(", ")]
+
+    def pattern(p: str, whole: bool = False) -> re.Pattern:
+        p = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", p)
+        return re.compile(rf"(?:{p})\Z" if whole else p, re.ASCII)
+
+    token = pattern(rf"{grammar.tokens}|[\s\S]")
+    skip, comment, open_, close, string = (pattern(p, True) for p in (grammar.skip, grammar.comment, grammar.open, grammar.close, grammar.string))
+    name_of, back = pattern(grammar.name), {c: o for o, c in BRACKETS.items()}
+    raw_start, raw_end = pattern(r"<[A-Za-z]"), pattern(r"</[A-Za-z]+\s*>\Z")
+
+    def classify(t: str) -> tuple[str, str]:
+        """The type and name of a token."""
+        name = back.get(t, t)
+        if grammar.name:
+            found = name_of.search(t)
+            name = found[1].lower() if found and found[1] else t
+        if skip.match(t):
+            return "skip", name
+        if grammar.name and name in grammar.raw and raw_start.match(t) and raw_end.search(t):
+            return "string", name
+        for kind, p in (("comment", comment), ("open", open_), ("close", close), ("string", string)):
+            if p.match(t):
+                return kind, name
+        return "keyword" if t.lower() in grammar.keywords else "other", name
+
+    def partners(own: list[tuple[int, int, int]]) -> dict[int, int]:
+        """Of opening and closing tokens (place, +1 or -1, name): the closing one of each opening one that it nests with."""
+        stacks: dict[int, list[int]] = {}
+        ends = {}
+        for k, step, name in own:
+            stack = stacks.setdefault(name, [])
+            if step > 0:
+                stack.append(k)
+            elif stack:
+                ends[stack.pop()] = k
+        starts, stack, out = {b: a for a, b in ends.items()}, [], {}
+        for k, _, _ in own:
+            if k in ends:
+                stack.append(k)
+            elif k in starts:
+                a = stack.pop()
+                if ends[a] == k:
+                    out[a] = k
+        return out
+
+    def nodes(texts: list[str]) -> tuple | None:
+        """The places of the texts of all nodes, and their columns."""
+        cut = [token.findall(t) for t in texts]
+        file = np.repeat(np.arange(len(cut)), [len(c) for c in cut])
+        if not len(file):
+            return None
+        coded = pa.array([t for c in cut for t in c], pa.string()).dictionary_encode()
+        code, words = coded.indices.to_numpy(), coded.dictionary
+        seen = words.to_pylist()
+        types, names = zip(*map(classify, seen), strict=True)
+        number: dict[str, int] = {}
+        name_code = np.array([number.setdefault(n, len(number)) for n in names])
+        kind = np.array([kinds[t] for t in types])[code]
+        length, feeds = (np.array([f(w) for w in seen])[code] for f in (len, lambda w: w.count("\n")))
+        first = np.searchsorted(file, np.arange(len(cut)))[file]  # each token's first one of its text
+
+        def upto(x):
+            total = np.concatenate([[0], np.cumsum(x)])
+            return total[1:] - total[first]
+
+        end, end_line = upto(length), upto(feeds)
+        marks = np.flatnonzero((kind == kinds["open"]) | (kind == kinds["close"]))
+        # a name has its own stack in each text
+        stack_of = file[marks] * len(number) + name_code[code[marks]]
+        pairs = partners(list(zip(marks.tolist(), np.where(kind[marks] == kinds["open"], 1, -1).tolist(), stack_of.tolist(), strict=True)))
+        a, b = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int64)
+        step = np.zeros(len(file), np.int64)
+        step[a], step[b] = 1, -1
+        is_node = (step >= 0) & (kind != kinds["skip"])
+        ids = upto(is_node) - 1
+        partner = np.full(len(file), -1)
+        partner[a] = b
+        # what is open behind each token that opens or closes
+        turns, inside, stack = np.flatnonzero(step), [-1], [-1]
+        for k, s in zip(turns.tolist(), step[turns].tolist(), strict=True):
+            stack.append(k) if s > 0 else stack.pop()
+            inside.append(stack[-1])
+        at = np.flatnonzero(is_node)
+        parent = np.array(inside)[np.searchsorted(turns, at)]
+        level = np.cumsum(step)[at] - (step[at] > 0)
+        group = np.where(parent < 0, -1 - file[at], parent)
+        order = np.argsort(group, kind="stable")
+        new = np.concatenate([[True], group[order][1:] != group[order][:-1]])
+        ord_ = np.empty(len(at), np.int64)
+        ord_[order] = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+        last_one = np.empty(len(at), bool)
+        last_one[order] = np.concatenate([new[1:], [True]])
+        is_list = partner[at] >= 0
+        stop = np.where(is_list, partner[at], at)
+        out_kind = np.where(is_list, kinds["list"], np.where(kind[at] == kinds["close"], kinds["error"], kind[at]))
+        if grammar.trailing:
+            ends = np.array([w in grammar.trailing for w in seen])[code[at]]
+            out_kind[ends & ~is_list & (parent >= 0) & last_one & (ord_ > 0)] = kinds["can_ignore"]
+        text = lambda k, there: words.take(pa.array(code[k], mask=~there))
+        long = lambda x, mask=None: pa.array(x, pa.int64(), mask=mask)
+        made = [
+            long(ids[at]), long(ids[parent], parent < 0), pa.array(ord_, pa.int32()), long(ids[at]), long(np.where(is_list, ids[stop], ids[at])), long(level), pa.array(is_list),
+            pa.array(names, pa.string()).take(pa.array(code[at])), text(at, is_list), text(stop, is_list), text(at, ~is_list), pa.array(_KINDS).take(pa.array(out_kind)),
+            long(end[at] - length[at]), long(end[stop]), long(end_line[at] - feeds[at]), long(end_line[stop]),
+        ]
+        return file[at], made
+
+    def run(batches):
+        for b in batches:
+            texts = b.columns[-1]
+            size = np.cumsum(np.asarray(pc.fill_null(pc.utf8_length(texts), 0)) if b.num_rows else [])
+            at = 0
+            while at < b.num_rows:
+                stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + CHARS, "right")))
+                made = nodes([t or "" for t in texts.slice(at, stop - at).to_pylist()])
+                if made is not None:
+                    keys = [c.take(pa.array(made[0] + at)) for c in b.columns[:n_keys]]
+                    yield pa.RecordBatch.from_arrays([*keys, *made[1]], [*b.schema.names[:n_keys], *columns])
+                at = stop
+
+    return run
 
 
 def with_content_id(nodes: DataFrame, keys: list[str]) -> DataFrame:
@@ -180,10 +301,11 @@ def _rows(nodes: DataFrame, *rows: Column) -> DataFrame:
     return nodes.select("*", F.explode(F.array_compact(F.array(*rows))).alias("_r")).select("*", "_r.*").drop("_r")
 
 
-def with_parent(nodes: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+def with_parent(nodes: DataFrame, keys: list[str], value: Column, name: str, opening: Column | None = None) -> DataFrame:
     """nodes (keys, pre, level) with the value that their parent has, null without parent: each node opens the level below it, and a
-    child's parent is the node that did so last."""
-    rows = _rows(nodes.withColumn("_value", F.struct(value.alias("v"))), F.struct(F.col("level").alias("_level"), F.lit(False).alias("_opens")), F.struct((F.col("level") + 1).alias("_level"), F.lit(True).alias("_opens")))
+    child's parent is the node that did so last. Where only nodes that are opening count, the value is that of the last of them, parent or not."""
+    opens = F.struct((F.col("level") + 1).alias("_level"), F.lit(True).alias("_opens"))
+    rows = _rows(nodes.withColumn("_value", F.struct(value.alias("v"))), F.struct(F.col("level").alias("_level"), F.lit(False).alias("_opens")), opens if opening is None else F.when(opening, opens))
     w = Window.partitionBy(*keys, "_level").orderBy("pre")
     return rows.withColumn("_value", F.last(F.when(F.col("_opens"), F.col("_value")), ignorenulls=True).over(w)).filter("NOT _opens").withColumn(name, F.col("_value.v")).drop("_value", "_level", "_opens")
 
@@ -205,12 +327,14 @@ def with_nearest(nodes: DataFrame, keys: list[str], marked: Column, value: Colum
     return rows.withColumn("_value", F.last(F.when(F.col("_opens"), F.col("_value")), ignorenulls=True).over(w)).filter("NOT _opens").withColumn(name, F.col("_value.v")).drop("_value", "_level", "_opens", "_marked", "_deep")
 
 
-def with_children(nodes: DataFrame, keys: list[str], marked: dict[str, Column]) -> DataFrame:
+def with_children(nodes: DataFrame, keys: list[str], marked: dict[str, Column], asked: Column | None = None) -> DataFrame:
     """nodes (keys, pre, last, level) with the number of marked children under each name: a running count of the marked on a level, between the
-    places where a node opens and closes that level."""
+    places where a node opens and closes that level. The number is right for nodes that are asked for."""
     at = lambda level, c, role: F.struct(level.alias("_level"), F.col(c).alias("_at"), F.lit(role).alias("_role"))
     own = nodes.withColumns({f"_m_{k}": F.coalesce(c, F.lit(False)) for k, c in marked.items()})
-    rows = _rows(own, at(F.col("level"), "pre", 0), at(F.col("level") + 1, "pre", 1), at(F.col("level") + 1, "last", 2))
+    counted, end = at(F.col("level"), "pre", 0), at(F.col("level") + 1, "last", 2)
+    any_marked = F.greatest(F.lit(False), *[F.col(f"_m_{k}") for k in marked])
+    rows = _rows(own, F.when(any_marked, counted), at(F.col("level") + 1, "pre", 1), end if asked is None else F.when(asked, end))
     upto = Window.partitionBy(*keys, "_level").orderBy("_at", "_role").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_n_{k}": F.sum(F.when((F.col("_role") == 0) & F.col(f"_m_{k}"), 1).otherwise(0)).over(upto) for k in marked}).filter("_role > 0")
     ends = Window.partitionBy(*keys, "_level").orderBy("_at", "_role")
@@ -218,11 +342,12 @@ def with_children(nodes: DataFrame, keys: list[str], marked: dict[str, Column])
     return rows.drop("_level", "_at", "_role", *[f"_{x}_{k}" for k in marked for x in "mn"])
 
 
-def with_descendants(nodes: DataFrame, keys: list[str], marked: dict[str, Column]) -> DataFrame:
-    """nodes (keys, pre, last, level) with the number of marked nodes below each, by running counts at a node's first and last place."""
+def with_descendants(nodes: DataFrame, keys: list[str], marked: dict[str, Column], asked: Column | None = None) -> DataFrame:
+    """nodes (keys, pre, last, level) with the number of marked nodes below each, by running counts at a node's first and last place. The number is right
+    for nodes that are asked for."""
     at = lambda c, role: F.struct(F.col(c).alias("_at"), F.lit(role).alias("_role"))
     own = nodes.withColumns({f"_m_{k}": F.coalesce(c, F.lit(False)) for k, c in marked.items()})
-    rows = _rows(own, at("pre", 1), at("last", 2))
+    rows = _rows(own, at("pre", 1), at("last", 2) if asked is None else F.when(asked, at("last", 2)))
     upto = Window.partitionBy(*keys).orderBy("_at", "_role").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_n_{k}": F.sum(F.when((F.col("_role") == 1) & F.col(f"_m_{k}"), 1).otherwise(0)).over(upto) for k in marked})
     ends = Window.partitionBy(*keys, "level").orderBy("_at", "_role")

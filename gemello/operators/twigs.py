@@ -8,6 +8,8 @@ are never joined with nodes, and nested matches make no pairs: a captured node b
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,23 +59,30 @@ def matches(nodes: DataFrame, keys: list[str], twig: Twig) -> DataFrame:
     flat = _flat(twig)
     if any(t.absent and _captures(t) for t, _ in flat) or not _captures(twig):
         raise ValueError("a twig captures something, and nothing that must not be there")
-    n = nodes
+    # the nodes that some twig may stand for, and of them places and tests alone
+    n = nodes.select(*keys, "id", "pre", "last", "level", *[t.test().alias(f"t_{i}") for i, (t, _) in enumerate(flat)])
+    n = n.filter(reduce(or_, [F.col(f"t_{i}") for i in range(len(flat))]))
     # up: m_i says that twig i matches at a node
     for i in reversed(range(len(flat))):
         own = [(j, t) for j, (t, above) in enumerate(flat) if above == i]
         for deep, count in ((False, with_children), (True, with_descendants)):
             if some := {f"c_{j}": F.col(f"m_{j}") for j, t in own if t.deep == deep}:
-                n = count(n, keys, some)
-        ok = flat[i][0].test()
+                n = count(n, keys, some, F.col(f"t_{i}"))
+        ok = F.col(f"t_{i}")
         for j, t in own:
             ok = ok & ((F.col(f"c_{j}") == 0) if t.absent else (F.col(f"c_{j}") > 0))
         n = n.withColumn(f"m_{i}", ok).drop(*[f"c_{j}" for j, _ in own])
     # down: r_i is the root of the match that twig i of a node belongs to
-    n = n.withColumn("r_0", F.when(F.col("m_0"), F.col("id")))
+    n = n.filter(reduce(or_, [F.col(f"m_{i}") for i in range(len(flat))])).drop(*[f"t_{i}" for i in range(len(flat))]).withColumn("r_0", F.when(F.col("m_0"), F.col("id")))
     for i, (t, above) in enumerate(flat):
         if above is not None and not t.absent and _captures(t):
             held = F.col(f"r_{above}")
-            n = with_nearest(n, keys, held.isNotNull(), held, "_root") if t.deep else with_parent(n, keys, held, "_root")
+            if t.deep:
+                n = with_nearest(n, keys, held.isNotNull(), held, "_root")
+            else:
+                # parents may be left out: what opened the level last need not hold the node
+                n = with_parent(n, keys, F.struct("last", held.alias("root")), "_above", held.isNotNull())
+                n = n.withColumn("_root", F.when(F.col("_above.last") >= F.col("pre"), F.col("_above.root"))).drop("_above")
             n = n.withColumn(f"r_{i}", F.when(F.col(f"m_{i}"), F.col("_root"))).drop("_root")
     found = [F.struct(F.col(f"r_{i}").alias("root"), F.lit(t.capture).alias("capture")) for i, (t, _) in enumerate(flat) if t.capture]
     return n.select(*keys, "id", F.explode(F.array(*found)).alias("_f")).filter("_f.root IS NOT NULL").select(*keys, "_f.root", "_f.capture", "id").distinct()

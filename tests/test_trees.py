@@ -189,3 +189,13 @@ def test_axes_on_random_trees(spark):
 def test_what_is_absent_has_no_capture(spark):
     with pytest.raises(ValueError):
         matches(spark.createDataFrame([], SCHEMA), ["file"], Twig("a", (Twig("b", absent=True, capture="x"),)))
+
+
+def test_trees_of_whole_texts_need_no_shuffle(spark):
+    """Texts by the thousand and one of a long token in one batch: each is parsed where it stands."""
+    rows = [(i, f'[{i}, {{"a": [{i},]}}]') for i in range(20_000)] + [(20_000, '["' + "é" * 300_000 + '"]'), (20_001, None)]
+    nodes = parse.tree(spark.createDataFrame(rows, "file int, text string").coalesce(1), parse.GRAMMARS["json"], ["file"])
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    assert nodes.count() == 20_000 * 8 + 2
+    assert [(r.kind, r.start, r.end, r.parent_id) for r in nodes.filter("file = 20000").orderBy("id").collect()] == [("list", 0, 300_004, None), ("string", 1, 300_003, 0)]
