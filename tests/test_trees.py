@@ -197,5 +197,5 @@ def test_trees_of_whole_texts_need_no_shuffle(spark):
     nodes = parse.tree(spark.createDataFrame(rows, "file int, text string").coalesce(1), parse.GRAMMARS["json"], ["file"])
     plan = nodes._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Sort" not in plan
-    assert nodes.count() == 20_000 * 8 + 2
+    assert nodes.count() == 20_000 * 9 + 2
     assert [(r.kind, r.start, r.end, r.parent_id) for r in nodes.filter("file = 20000").orderBy("id").collect()] == [("list", 0, 300_004, None), ("string", 1, 300_003, 0)]
