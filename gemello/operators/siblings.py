@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, LongType, StructType
 
 
-def ranked(nodes: DataFrame, longest: int) -> DataFrame:
-    """nodes (file, side, parent_id, ord, id, key) with ranks: ranks[j] is equal for two nodes of a file, of either side, exactly if the runs of 2^j
-    siblings that begin at them have equal keys; null where a run would end beyond the last sibling."""
-    own = Window.partitionBy("file", "side", "parent_id").orderBy("ord")
-    out = nodes.withColumn("_r", F.dense_rank().over(Window.partitionBy("file").orderBy("key")))
-    ranks, j = [], 0
-    while True:
-        out = out.withColumnRenamed("_r", f"_r{j}")
-        ranks.append(f"_r{j}")
-        if 2 ** (j + 1) > longest:
-            break
-        out = out.withColumn("_next", F.lead(f"_r{j}", 2**j).over(own))
-        out = out.withColumn("_r", F.dense_rank().over(Window.partitionBy("file", F.col("_next").isNull()).orderBy(f"_r{j}", "_next")))
-        out = out.withColumn("_r", F.when(F.col("_next").isNotNull(), F.col("_r"))).drop("_next")
-        j += 1
-    return out.withColumn("ranks", F.array(*ranks)).drop(*ranks)
+#: Nodes that are looked at together, unless a file has more.
+NODES = 1 << 16
+_RUNS = ["file", "side", "id", "n"]
 
 
 def matching_siblings(nodes: DataFrame, runs: DataFrame) -> DataFrame:
@@ -31,37 +25,160 @@ def matching_siblings(nodes: DataFrame, runs: DataFrame) -> DataFrame:
     pre-order, then the leftmost. ids is empty if no node of the run has its key on the other side, and null if some have but no run fits. A run that goes beyond the last
     sibling gives null too.
 
-    A run of n is two overlapping runs of a power of two: equal at any length exactly if both ranks are. For each length that a file asks for,
-    places are grouped by those two ranks, so that equal runs never meet each other.
+    Nodes and runs are dealt by file, once each; a task holds one file's at a time.
+    """
+    nodes = _nodes(nodes)
+    # columns of their own, as runs often come from nodes and a cogroup doesn't tell equal ones apart
+    asked = runs.select(*(F.col(c).alias(c) for c in ("file", "side")), *(F.col(c).cast("long").alias(c) for c in ("id", "n")))
+    schema = StructType([*asked.schema.fields]).add("ids", ArrayType(LongType()))
+    arrow, of_nodes = to_arrow_schema(schema), to_arrow_schema(nodes.schema)
+
+    def run(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not wanted.num_rows:  # such a side may come without its columns
+            return arrow.empty_table()
+        return _answered(own if own.num_rows else of_nodes.empty_table(), wanted, arrow)
+
+    return nodes.groupBy("file").cogroup(asked.groupBy("file")).applyInArrow(run, schema)
+
+
+def matching_siblings_in_place(nodes: DataFrame, runs: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """The same without a shuffle, for nodes of which a file's rows stand together in a partition, as parse.tree() leaves them if both its texts do.
+
+    runs makes the runs of a table of such nodes, which holds all those of some files.
+    """
+    nodes = _nodes(nodes)
+    fields = {f.name: f for f in nodes.schema.fields}
+    schema = StructType([fields["file"], fields["side"]]).add("id", LongType()).add("n", LongType()).add("ids", ArrayType(LongType()))
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _whole_files(batches):
+            yield from _answered(own, runs(own), arrow).to_batches()
+
+    return nodes.mapInArrow(run, schema)
+
+
+def _nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.select("file", "side", *(F.col(c).cast("long").alias(c) for c in ("parent_id", "ord", "id", "pre")), "key")
+
+
+def _whole_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to tables that end where a file does."""
+    held, rows = [], 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows < NODES:
+            continue
+        t = pa.Table.from_batches(held)
+        file = _codes(t["file"])
+        cut = np.flatnonzero(file[1:] != file[:-1])
+        if len(cut):
+            yield t.slice(0, int(cut[-1]) + 1)
+            t = t.slice(int(cut[-1]) + 1)
+        held, rows = t.to_batches(), 0 if len(cut) else -t.num_rows  # a file that goes on is looked at again when it has twice as many
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _answered(own: pa.Table, wanted: pa.Table, schema: pa.Schema) -> pa.Table:
+    wanted = wanted.group_by(_RUNS, use_threads=False).aggregate([]).select(_RUNS)
+    return pa.table([*wanted.columns, _found(own, wanted)], names=schema.names).cast(schema)
+
+
+def _numbers(t: pa.Table, name: str, null: int = -1) -> np.ndarray:
+    return pc.fill_null(t[name], null).to_numpy().astype(np.int64)
+
+
+def _codes(values: pa.ChunkedArray) -> np.ndarray:
+    """A number for each different value; null is one too."""
+    return values.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _found(own: pa.Table, wanted: pa.Table) -> pa.Array:
+    """The ids of each wanted run of some files.
+
+    Nodes stand by file and side, parent in pre-order and place. Two runs of 2^j are equal exactly if their ranks are; a rank of 2^(j+1) numbers the pairs of
+    ranks 2^j apart. A run of n is two overlapping ones of a power of two, equal at any length exactly if both ranks are.
     """
-    nodes = nodes.select("file", "side", "parent_id", "ord", "id", "pre", "key")
-    longest = runs.agg(F.max("n")).first()[0] or 1
-    r = ranked(nodes, longest).withColumn("siblings", F.count(F.lit(1)).over(Window.partitionBy("file", "side", "parent_id")))
-    lengths = runs.select("file", "n").distinct()
-    j = F.floor(F.log2("n")).cast("int")
-    # floor of a floating logarithm may be one off at a power of two
-    j = F.when(F.pow(F.lit(2.0), j + 1) <= F.col("n"), j + 1).when(F.pow(F.lit(2.0), j) > F.col("n"), j - 1).otherwise(j)
-    places = r.join(lengths, "file").filter(F.col("ord") + F.col("n") <= F.col("siblings")).withColumn("j", j).withColumn("a", F.get("ranks", "j"))
-    ends = r.select("file", "side", "parent_id", F.col("ord").alias("at"), F.col("ranks").alias("end_ranks"))
-    places = places.withColumn("at", (F.col("ord") + F.col("n") - F.pow(F.lit(2.0), F.col("j"))).cast("long"))
-    same = (places.file == ends.file) & (places.side == ends.side) & places.parent_id.eqNullSafe(ends.parent_id) & (places["at"] == ends["at"])
-    places = places.join(ends.select("file", "side", "parent_id", "at", "end_ranks"), same).select(places.file, places.side, "id", places.parent_id, "ord", "n", "a", F.get("end_ranks", "j").alias("b"))
-    parents = nodes.select("file", "side", F.col("id").alias("parent_id"), F.col("pre").alias("parent_pre"))
-    placed = places.join(parents, ["file", "side", "parent_id"], "left").withColumn("order", F.struct(F.coalesce("parent_pre", F.lit(-1)).alias("parent_pre"), "ord"))
-    other = F.when(F.col("side") == "lhs", "rhs").otherwise("lhs")
-    first = placed.groupBy("file", "side", "n", "a", "b").agg(F.min(F.struct("order", "parent_id", "ord")).alias("first")).withColumn("side", other)
-    asked = runs.select("file", "side", "id", "n").distinct().join(places.select("file", "side", "id", "n", "a", "b", F.col("parent_id").alias("own_parent"), F.col("ord").alias("own_ord")), ["file", "side", "id", "n"], "left")
-    found = asked.join(first, ["file", "side", "n", "a", "b"], "left")
-    # the ids of what was found, and whether any key of the run is on the other side
-    steps = F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k")
-    hit = found.filter("first IS NOT NULL").select("file", "side", "id", "n", F.col("first.parent_id").alias("parent_id"), F.col("first.ord").alias("from"), steps)
-    of = nodes.select("file", other.alias("side"), "parent_id", "ord", F.col("id").alias("found_id"))
-    at = (hit.file == of.file) & (hit.side == of.side) & hit.parent_id.eqNullSafe(of.parent_id) & (hit["from"] + hit.k == of.ord)
-    ids = hit.join(of, at).groupBy(hit.file, hit.side, "id", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "found_id"))), lambda s: s["found_id"]).alias("ids"))
-    keys = nodes.select("file", other.alias("side"), "key").distinct().withColumn("met", F.lit(True))
-    lost = found.filter("first IS NULL AND a IS NOT NULL").select("file", "side", "id", "n", F.col("own_parent").alias("parent_id"), F.col("own_ord").alias("from"), steps)
-    mine = nodes.select("file", "side", "parent_id", "ord", "key")
-    at = (lost.file == mine.file) & (lost.side == mine.side) & lost.parent_id.eqNullSafe(mine.parent_id) & (lost["from"] + lost.k == mine.ord)
-    some = lost.join(mine, at).select(lost.file, lost.side, "id", "n", "key").join(keys, ["file", "side", "key"], "left").groupBy("file", "side", "id", "n").agg(F.count("met").alias("met"))
-    none = some.filter("met = 0").select("file", "side", "id", "n", F.array().cast("array<bigint>").alias("ids"))
-    return runs.select("file", "side", "id", "n").distinct().join(ids.unionByName(none), ["file", "side", "id", "n"], "left")
+    total = own.num_rows
+    file = _codes(pa.chunked_array([*own["file"].chunks, *wanted["file"].cast(own["file"].type).chunks], own["file"].type))
+    lhs, asked_lhs = (pc.fill_null(pc.equal(t["side"], "lhs"), False).to_numpy().astype(bool) for t in (own, wanted))
+    side, asked_side = 2 * file[:total] + lhs, 2 * file[total:] + asked_lhs
+    parent, ident, pre = (_numbers(own, c) for c in ("parent_id", "id", "pre"))
+    order = np.lexsort((ident, side))
+    at = _Places(side[order], ident[order]).of(side, parent)
+    pre = np.append(pre[order], -1)[at]  # of the parent: -1 for none
+    order = np.lexsort((_numbers(own, "ord"), parent, pre, side))
+    # keys of different files are different
+    words = _codes(own["key"])
+    key = np.unique(file[:total] * (int(words.max(initial=0)) + 1) + words, return_inverse=True)[1][order]
+    there = own["key"].is_valid().to_numpy()[order]
+    side, parent, ident, lhs = side[order], parent[order], ident[order], lhs[order]
+    new = np.ones(total, bool)
+    new[1:] = (side[1:] != side[:-1]) | (parent[1:] != parent[:-1])
+    starts = np.flatnonzero(new)
+    left = np.repeat(np.append(starts[1:], total), np.diff(np.append(starts, total))) - np.arange(total)  # siblings from a node on
+    # how many nodes up to each have their key on the other side
+    sides = np.zeros(total, np.int64)
+    sides[key[lhs & there]] |= 1
+    sides[key[~lhs & there]] |= 2
+    met = np.concatenate([[0], np.cumsum((sides[key] & np.where(lhs, 2, 1)) > 0)])
+
+    n = _numbers(wanted, "n", 0)
+    by_id = np.lexsort((ident, side))
+    begin = np.append(by_id, -1)[_Places(side[by_id], ident[by_id]).of(asked_side, _numbers(wanted, "id"))]
+    fits = (begin >= 0) & (n > 0)
+    fits[fits] = n[fits] <= left[begin[fits]]
+    first = np.full(len(n), -1)
+    rank, j = key, 0
+    for length in np.unique(n[fits]).tolist():
+        while 2 ** (j + 1) <= length:
+            rank, j = _doubled(rank, left, 2**j), j + 1
+        places = np.flatnonzero(left >= length)  # in the order of what comes first
+        pairs = rank[places] * (total + 1) + rank[places + length - 2**j]
+        rows = np.flatnonzero(fits & (n == length))
+        for on_left in (True, False):
+            theirs = lhs[places] != on_left
+            values, earliest = np.unique(pairs[theirs], return_index=True)
+            mine = rows[asked_lhs[rows] == on_left]
+            want = pairs[np.searchsorted(places, begin[mine])]
+            k = np.searchsorted(values, want)
+            hit = k < len(values)
+            hit[hit] = values[k[hit]] == want[hit]
+            first[mine[hit]] = places[theirs][earliest[k[hit]]]
+    found = first >= 0
+    none = fits & ~found
+    none[none] = met[begin[none] + n[none]] == met[begin[none]]
+    size = np.where(found, n, 0)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    ids = ident[np.repeat(first, size) + np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)]
+    lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int64()), mask=pa.array(~(found | none)))
+    return lists.cast(pa.list_(pa.int64()))
+
+
+def _doubled(rank: np.ndarray, left: np.ndarray, step: int) -> np.ndarray:
+    """Ranks of runs twice as long; -1 where one would end beyond the last sibling."""
+    out = np.full(len(rank), -1)
+    whole = np.flatnonzero(left >= 2 * step)
+    out[whole] = np.unique(rank[whole] * (len(rank) + 1) + rank[whole + step], return_inverse=True)[1]
+    return out
+
+
+class _Places:
+    """Where pairs of numbers stand in two columns that are sorted by them."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray):
+        self.values, codes = np.unique(b, return_inverse=True)
+        self.pairs = a * (len(self.values) + 1) + codes
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The place of each pair; -1 if it stands nowhere."""
+        k = np.searchsorted(self.values, b)
+        known = k < len(self.values)
+        known[known] = self.values[k[known]] == b[known]
+        want = a * (len(self.values) + 1) + k
+        at = np.searchsorted(self.pairs, want)
+        known &= at < len(self.pairs)
+        known[known] = self.pairs[at[known]] == want[known]
+        return np.where(known, at, -1)

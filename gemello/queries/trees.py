@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -304,6 +306,17 @@ def a3(spark, d):
     return regions.coverage(leaves, ["file", "side"])
 
 
+def lists_and_twos(nodes: pa.Table) -> pa.Table:
+    """Runs of all children of each list, and of each two siblings."""
+    lists = nodes.filter(nodes["parent_id"].is_valid()).group_by(["file", "side", "parent_id"], use_threads=False).aggregate([("id", "min"), ("id", "count")])
+    order = nodes.sort_by([(c, "ascending") for c in ("file", "side", "parent_id", "ord")])
+    ahead, behind = order.slice(0, max(0, nodes.num_rows - 1)), order.slice(1)
+    next_ = pc.and_(pc.and_(pc.equal(ahead["file"], behind["file"]), pc.equal(ahead["side"], behind["side"])), pc.equal(pc.fill_null(ahead["parent_id"], -1), pc.fill_null(behind["parent_id"], -1)))
+    two = ahead.filter(next_).select(["file", "side", "id"])
+    whole = lists.select(["file", "side", "id_min", "id_count"]).rename_columns(["file", "side", "id", "n"])
+    return pa.concat_tables([whole, two.append_column("n", pa.array([2] * two.num_rows, pa.int64()))])
+
+
 @query(
     "m20_matching_siblings",
     f"""WITH {PAGES.replace("texts AS", "original AS")}, texts AS (SELECT 2 * file AS file, text FROM original UNION ALL SELECT 2 * file + 1, replace(replace(text, '<br>', ''), '</ul>', '<li>More</li></ul>') FROM original), {tree_sql(GRAMMARS["html"])},
@@ -323,11 +336,7 @@ def m20(spark, d):
     edited = F.replace(F.replace("text", F.lit("<br>"), F.lit("")), F.lit("</ul>"), F.lit("<li>More</li></ul>"))
     sides = own.select("file", F.explode(F.array(F.struct(F.lit("lhs").alias("side"), "text"), F.struct(F.lit("rhs").alias("side"), edited.alias("text")))).alias("t")).select("file", "t.*")
     nodes = parse.tree(sides, GRAMMARS["html"], ["file", "side"]).withColumn("key", F.coalesce("open", "content"))
-    nodes = written(nodes.select("file", "side", "parent_id", "ord", "id", "pre", "key"), "siblings")
-    whole = nodes.filter("parent_id IS NOT NULL").groupBy("file", "side", "parent_id").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")).drop("parent_id")
-    w = Window.partitionBy("file", "side", "parent_id").orderBy("ord")
-    two = nodes.withColumn("next", F.lead("id").over(w)).filter("next IS NOT NULL").select("file", "side", "id", F.lit(2).cast("long").alias("n"))
-    found = siblings.matching_siblings(nodes, whole.select("file", "side", "id", "n").unionByName(two))
+    found = siblings.matching_siblings_in_place(nodes, lists_and_twos)
     return found.select("file", "side", "id", "n", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
 
 

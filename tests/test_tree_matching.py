@@ -2,10 +2,12 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gemello.operators import assembly, parse, propagate, siblings
+from gemello.queries.trees import lists_and_twos
 from test_trees import random_tree
 
 RUNS = "file int, side string, id long, n long"
@@ -58,6 +60,45 @@ def test_no_runs_and_a_side_without_file(spark):
     assert [r.ids for r in siblings.matching_siblings(nodes, spark.createDataFrame([(1, "lhs", 0, 1)], RUNS)).collect()] == [[]]
 
 
+def test_long_lists_are_dealt_once(spark):
+    """Runs that come from nodes, in a list of 700: one shuffle of each, whatever the length of the list."""
+    keys = {"lhs": [k * k % 11 for k in range(700)], "rhs": [k * k % 11 for k in range(1, 701)]}
+    rows = [(1, side, None, k, k, k, str(key), 1) for side, own in keys.items() for k, key in enumerate(own)]
+    nodes = spark.createDataFrame(rows, NODES)
+    runs = nodes.filter("ord IN (0, 1, 690)").select("file", "side", "id", F.explode(F.array(*(F.lit(n).cast("long") for n in (2, 300, 699, 700)))).alias("n"))
+    got = siblings.matching_siblings(nodes, runs)
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    for r in got.collect():
+        own, there = keys[r.side], keys["rhs" if r.side == "lhs" else "lhs"]
+        run = own[r.id : r.id + r.n]
+        first = next((k for k in range(701 - r.n) if there[k : k + r.n] == run), None) if len(run) == r.n else None
+        assert r.ids == (None if first is None else [*range(first, first + r.n)]), r
+
+
+def test_in_place_without_a_shuffle(spark):
+    rng = random.Random(3)
+    rows = [r for f in range(30) for s in ("lhs", "rhs") for r in sibling_rows(rng, f, s, rng.randrange(1, 25), "abc")]
+    nodes = spark.createDataFrame(rows, NODES).coalesce(1)
+    got = siblings.matching_siblings_in_place(nodes, lists_and_twos)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    asked = {(x[0], x[1], x[4], 2) for x in rows for y in rows if (y[0], y[1], y[2], y[3]) == (*x[:3], x[3] + 1)}
+    lists = [[x for x in rows if (x[0], x[1], x[2]) == key] for key in {(x[0], x[1], x[2]) for x in rows if x[2] is not None}]
+    asked |= {(*min(own, key=lambda x: x[3])[:2], min(x[4] for x in own), len(own)) for own in lists}
+    got = got.collect()
+    assert sorted((r.file, r.side, r.id, r.n) for r in got) == sorted(asked)
+    for r in got:
+        assert r.ids == found(rows, r.file, r.side, r.id, r.n), r
+
+
+def test_tables_end_where_files_do(monkeypatch):
+    monkeypatch.setattr(siblings, "NODES", 5)
+    files = [1] * 3 + [2] * 4 + [None] * 2 + [3] * 17 + [4]
+    batches = [pa.RecordBatch.from_pydict({"file": pa.array(files[at : at + 2], pa.int32())}) for at in range(0, len(files), 2)]
+    tables = [t["file"].to_pylist() for t in siblings._whole_files(iter(batches))]
+    assert sum(tables, []) == files and len(tables) > 2
+    assert not any(set(a) & set(b) for k, a in enumerate(tables) for b in tables[k + 1 :])
+
+
 def changes(spark, left, right):
     texts = spark.createDataFrame([(1, "lhs", left), (1, "rhs", right)], "file int, side string, text string")
     nodes = parse.with_content_id(parse.tree(texts, parse.GRAMMARS["c"], ["file", "side"]), ["file", "side"])
