@@ -77,7 +77,7 @@ def diff_text(lhs: str, rhs: str, language: str | None, cause: str, options: Opt
         try:
             a, b, changes = treematch.structural(lhs, rhs, language, options.graph_limit)
             sliders.correct(a, b, changes, language)
-            left, right = ({n.id: n for n in syntax.number(t)} for t in (a, b))
+            left, right = ({n.id: n for n in syntax.preorder(t)} for t in (a, b))
             own = tuple(treematch.tree_positions(t, s, changes, o, words=True) for t, s, o in ((a, "lhs", right), (b, "rhs", left)))
             if options.ignore_comments:
                 own = tuple(_without_comments(ps, ns.values()) for ps, ns in zip(own, (left, right), strict=True))

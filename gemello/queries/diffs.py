@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gemello.operators import alignment as a
 from gemello.plans import compare
-from gemello.queries.carriers import SNAPSHOTS, documents, snapshots, table, values
+from gemello.queries.carriers import SNAPSHOTS, documents, snapshots, spread, table, values
 from gemello.registry import query
 from gemello.session import shared_dir
 
@@ -112,7 +112,7 @@ def m12(spark, d):
 
 def _tree_pairs(spark, d, language):
     if language == "HTML":
-        p = table(spark, d, "pages")
+        p = spread(table(spark, d, "pages").select("page_id", "html"), "page_id")
         head = F.regexp_replace("html", "<h1>", "<h1 class='x'>")
         return p.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("file_key"), F.col("html").alias("lhs"), head.alias("rhs"), F.lit("HTML").alias("language"), F.lit("structural").alias("cause"))
     e = table(spark, d, "events").filter("props IS NOT NULL")

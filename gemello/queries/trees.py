@@ -11,7 +11,7 @@ from gemello.operators import assembly, edits, parse, propagate, regions, siblin
 from gemello.operators.parse import GRAMMARS, Grammar
 from gemello.operators.tree import hidden, partners
 from gemello.operators.twigs import Twig, matches, tagged
-from gemello.queries.carriers import table
+from gemello.queries.carriers import spread, table
 from gemello.registry import query
 from gemello.session import written
 
@@ -332,7 +332,7 @@ def lists_and_twos(nodes: pa.Table) -> pa.Table:
 )
 def m20(spark, d):
     """All children of each list, and each two siblings, looked for on the other side of the pages."""
-    own = pages(spark, d)
+    own = spread(pages(spark, d), "file")
     edited = F.replace(F.replace("text", F.lit("<br>"), F.lit("")), F.lit("</ul>"), F.lit("<li>More</li></ul>"))
     sides = own.select("file", F.explode(F.array(F.struct(F.lit("lhs").alias("side"), "text"), F.struct(F.lit("rhs").alias("side"), edited.alias("text")))).alias("t")).select("file", "t.*")
     nodes = parse.tree(sides, GRAMMARS["html"], ["file", "side"]).withColumn("key", F.coalesce("open", "content"))

@@ -114,3 +114,33 @@ def test_fallbacks():
 def test_ignored_comments_are_no_changes():
     rows = diff_text("x # one\n", "x # two\n", "Python", "structural", Options(ignore_comments=True))[3]
     assert rows == [("unchanged", 0, 0)]
+
+
+def test_a_long_line_of_html_takes_time_in_proportion():
+    import time
+
+    from gemello.operators import syntax
+
+    text = "<p>" + "é wörd " * 60_000 + "</p>"
+    began = time.process_time()
+    root = syntax.parse(text, "HTML")
+    assert time.process_time() - began < 10  # a column counted from the line's start: some 60 s
+    leaf = root.children[0].children[-1]
+    assert leaf.content == "wörd" and leaf.spans == [(0, len(text[: -len(" </p>") - 4].encode()), len(text[: -len(" </p>")].encode()))]
+
+
+def test_only_lists_with_novel_nodes_beside_others_are_looked_at():
+    from gemello.operators import sliders, syntax, treematch
+
+    a, b, changes = treematch.structural("<ul><li>x</li></ul><p>one two</p>", "<ul><li>x</li></ul><p>one more two</p><b>n w</b>", "HTML")
+    lists = sliders._Side("rhs", b, syntax.preorder(a), changes).lists()
+    assert [[n.content or n.open for n in own] for own in lists] == [["one", "more", "two"], ["<ul>", "<p>", "<b>"]]
+
+
+def test_pages_in_one_file_are_compared_by_many_tasks(spark, tmp_path):
+    from gemello import registry
+
+    spark.createDataFrame([(k, f"<h1>{k}</h1>") for k in range(64)], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("m9_tree_diff_html", "m20_matching_siblings"):
+        got = registry.QUERIES[name](spark, str(tmp_path))
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString() and got.count() >= 64
