@@ -124,7 +124,11 @@ def _dictionary(folder: str, digest: bytes) -> zstandard.ZstdCompressionDict | N
         raw = f.read()
     if hashlib.sha256(raw).digest() != digest:
         raise ValueError("the dictionary is not the one that the shard was written with")
-    return zstandard.ZstdCompressionDict(raw) if raw else None
+    if not raw:
+        return None
+    out = zstandard.ZstdCompressionDict(raw)
+    out.precompute_compress(level=LEVEL)  # its tables once in a worker, not in each compressor
+    return out
 
 
 class Shard:

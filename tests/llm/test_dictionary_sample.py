@@ -13,3 +13,28 @@ def test_sample_reaches_all_parts_of_long_documents():
         assert {k * 16 // n for k in got.tolist()} == set(range(16))
     short = np.arange(4096, dtype="<u4").tobytes()
     assert t.spread(short) == short and t.spread(b"") == b""
+
+
+def test_the_dictionary_is_made_ready_once(tmp_path):
+    import hashlib
+    import time
+
+    import zstandard
+
+    from gemello.llm import token_binary
+
+    raw = zstandard.train_dictionary(token_binary.DICT_BYTES, [bytes([k % 251, 0, k % 7, 0]) * 300 + bytes(range(k % 200)) * 4 for k in range(1000)]).as_bytes()
+    digest = hashlib.sha256(raw).digest()
+    (tmp_path / f"{digest.hex()}.zdict").write_bytes(raw)
+    ready, plain = token_binary._dictionary(f"file://{tmp_path}", digest), zstandard.ZstdCompressionDict(raw)
+    text = bytes(range(200)) * 20
+    frame = zstandard.ZstdCompressor(level=token_binary.LEVEL, dict_data=ready).compress(text)
+    assert zstandard.ZstdDecompressor(dict_data=plain).decompress(frame) == text
+
+    def seconds(d):
+        began = time.process_time()
+        for _ in range(100):
+            zstandard.ZstdCompressor(level=token_binary.LEVEL, dict_data=d).compress(text)
+        return time.process_time() - began
+
+    assert min(seconds(ready) for _ in range(3)) < min(seconds(plain) for _ in range(3))
