@@ -6,7 +6,7 @@ crosses a boundary goes whole to the section that holds most of its characters,
 sections add up to the tokens of the document. Separators between sections belong to the section before them.
 
 A null or empty field has one empty section without tokens. Repeated rows are rows of their own, and so is a null doc_id. An empty table gives no rows.
-A text of any length is encoded at once, as its tokens depend on no cut. Only the named columns are read, so that others may have any name.
+A text of any length is encoded whole: it is cut at no place but between the pre-tokens of the file. Only the named columns are read, so that others may have any name.
 """
 
 from __future__ import annotations
@@ -49,28 +49,57 @@ def count_sections(docs: DataFrame, tokenizer: str, fields: tuple[str, ...] = ("
     def run(batches):
         encode, pattern = span_tokenizer(tokenizer), re.compile(separator)
         for b in slices(batches):
-            rows, ids = [], b.column(0).to_pylist()
+            made, ids = _Columns(), b.column(0).to_pylist()
             columns = [b.column(k + 1).to_pylist() for k in range(len(fields))]
             for k, doc in enumerate(ids):
                 texts = [c[k] or "" for c in columns]
                 ends, offset, parts = [], 0, []
                 for name, text in zip(fields, texts, strict=True):
                     own = section_ends(text, pattern)
-                    parts += [(name, i, a, e) for i, (a, e) in enumerate(zip([0, *own], own, strict=False))]
+                    parts.append((name, own))
                     ends += [offset + e for e in own]
                     offset += len(text) + len(between)
                     ends[-1] = offset if name != fields[-1] else ends[-1]  # what stands between fields belongs to the field before
-                tokens, crossing = attribute(encode(between.join(texts)), np.asarray(ends))
-                rows += [(doc, *p, int(n), int(x)) for p, n, x in zip(parts, tokens.tolist(), crossing.tolist(), strict=True)]
-                if len(rows) >= 16_384:
-                    yield _batch(rows)
-                    rows = []
-            if rows:
-                yield _batch(rows)
+                made.add(doc, parts, *attribute(encode(between.join(texts)), np.asarray(ends)))
+                if made.rows >= 16_384:
+                    yield made.batch()
+                    made = _Columns()
+            if made.rows:
+                yield made.batch()
+        encode.forget()
 
     return docs.select(ident, *fields).mapInArrow(run, SECTIONS)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.string(), pa.int32(), *[pa.int64()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [f.split()[0] for f in SECTIONS.split(", ")])
+class _Columns:
+    """Sections of some documents, a column at a time."""
+
+    def __init__(self):
+        self.rows, self.docs, self.sizes, self.fields, self.lengths = 0, [], [], [], []
+        self.numbers: tuple[list, ...] = ([], [], [])  # ends, tokens, crossing
+
+    def add(self, doc: int | None, parts: list[tuple[str, list[int]]], tokens: np.ndarray, crossing: np.ndarray) -> None:
+        """parts: each field and the ends of its sections."""
+        self.rows += len(tokens)
+        self.docs.append(doc)
+        self.sizes.append(len(tokens))
+        for name, ends in parts:
+            self.fields.append(name)
+            self.lengths.append(len(ends))
+            self.numbers[0].extend(ends)
+        self.numbers[1].append(tokens)
+        self.numbers[2].append(crossing)
+
+    def batch(self) -> pa.RecordBatch:
+        lengths = np.asarray(self.lengths)
+        first = np.cumsum(lengths) - lengths
+        end = np.asarray(self.numbers[0], np.int64)
+        start = np.roll(end, 1)
+        start[first] = 0
+        columns = [
+            pa.array(self.docs, pa.int64()).take(pa.array(np.repeat(np.arange(len(self.docs)), self.sizes))),
+            pa.array(self.fields, pa.string()).take(pa.array(np.repeat(np.arange(len(self.fields)), lengths))),
+            pa.array(np.arange(self.rows) - np.repeat(first, lengths), pa.int32()),
+            *(pa.array(c, pa.int64()) for c in (start, end, *map(np.concatenate, self.numbers[1:]))),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in SECTIONS.split(", ")])

@@ -275,6 +275,16 @@ def test_token_counts_of_fields_and_crossings(spark):
     assert tokens.tolist() == [1, 1, 1] and crossing.tolist() == [1, 1, 0]
 
 
+def test_token_counts_in_columns_of_several_fields(spark):
+    rows = spark.createDataFrame([(1, "u\n", "a b\nc"), (None, None, ""), (2, "v", None)], "doc_id long, url string, text string").coalesce(1)
+    got = [tuple(r)[:5] for r in token_counts.count_sections(rows, SPANS, ("url", "text")).collect()]
+    assert got == [
+        (1, "url", 0, 0, 2), (1, "text", 0, 0, 4), (1, "text", 1, 4, 5),
+        (None, "url", 0, 0, 0), (None, "text", 0, 0, 0),
+        (2, "url", 0, 0, 1), (2, "text", 0, 0, 0),
+    ]
+
+
 def brute_marginals(e, t):
     import itertools
 

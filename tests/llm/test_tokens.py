@@ -1,6 +1,10 @@
 """The tokenizers against the library over every assigned code point and some that aren't, alone and beside other characters."""
 
+import json
+import random
+import time
 import unicodedata
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -52,3 +56,47 @@ def test_spans_from_lengths_are_the_librarys_offsets():
         assert np.array_equal(spans(t), spans.by_offsets(t)), ascii(t[:80])
     spans.sizes[:] = 0  # lengths that don't add up
     assert np.array_equal(spans("some text"), spans.by_offsets("some text"))
+
+
+@pytest.fixture
+def spans():
+    return SpanTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_spans_of_mixed_texts_are_the_librarys_offsets(spans, monkeypatch):
+    monkeypatch.setattr("gemello.llm.tokens.MEMO", 50)  # so that words leave the memo and come back
+    rng = random.Random(3)
+    odd = [*"aZé9 _'.-\t\n\r\x0b\x1c\x85\xa0  　٣²ßſ日가́ꟶ﻿\U0001f600\U000105d7", "  ", "\r\n", "'s", " 'LL", "<|endoftext|>", "word", " word"]
+    for chars in (odd, [c for c in odd if c.isascii()]):
+        for _ in range(4000):
+            t = "".join(rng.choices(chars, k=rng.randrange(1, 30)))
+            assert np.array_equal(spans(t), spans.by_offsets(t)), ascii(t)
+
+
+def test_spans_encode_each_distinct_word_once(spans):
+    words = []
+    encode, spans.memo.encode = spans.memo.encode, lambda w: words.append(w) or encode(w)
+    texts = [" ".join(f"word{k % 97} né, it's" for k in range(j, j + 400)) for j in range(100)]
+    assert all(np.array_equal(spans(t), spans.by_offsets(t)) for t in texts)
+    assert len(words) == len(set(words)) < 150
+
+    def seconds(f):
+        began = time.process_time()
+        for t in texts:
+            f(t)
+        return time.process_time() - began
+
+    library = lambda t: spans.tokenizer.encode_batch_fast([t], add_special_tokens=False)
+    assert min(seconds(spans) for _ in range(3)) < min(seconds(library) for _ in range(3))
+    spans.forget()
+    assert not spans.memo and not spans.memo.old
+
+
+def test_spans_of_files_that_split_otherwise(tmp_path):
+    spec = json.loads(Path(public_tokenizers.path("byte_bpe_50k.json")).read_text())
+    word = {"id": 50257, "content": "rd w", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False}
+    for change in ({"pre_tokenizer": spec["pre_tokenizer"] | {"use_regex": False}}, {"added_tokens": [*spec["added_tokens"], word]}):
+        (path := tmp_path / "other.json").write_text(json.dumps(spec | change))
+        other = SpanTokenizer(str(path))
+        for t in ("a word word\n\n 12ab", "word  word", "é word"):
+            assert np.array_equal(other(t), other.by_offsets(t)), (change, t)
